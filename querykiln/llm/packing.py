@@ -1,11 +1,11 @@
 """Operator 9 - best-fit packing by sums of squares.
 
 Documents become pieces of at most ``capacity`` tokens, pieces are put into
-sequences. A piece goes where the sum of squares of the counts of open sequences
-per residual gap becomes smallest; ties go to the tightest gap. Pieces are dealt
-to groups of bounded size that are packed apart, in an order dealt by hash but for
-the shortest tenth, which comes last and fills what is left; the loosest sequences
-of all groups are then packed once more in the same way.
+sequences, long ones first. A piece goes to the open sequence with room for it
+that makes the sum of squares of the counts of open sequences per residual gap
+smallest (ties: the tightest gap); a sequence is opened only when none has room,
+for as few sequences as can be. Pieces are dealt to groups of bounded size that
+are packed apart; the loosest sequences of all groups are packed once more.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from querykiln.llm.common import Table, columns_of
 CAPACITY = 2048
 #: Pieces that one task packs, about.
 GROUP = 60_000
-#: Share of a group's pieces, the shortest, that are placed last.
-SHORTEST = 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,8 +39,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         change[:1] -= 1  # a bin that is filled is no longer counted
         change[count[s:capacity] == 0] = 1 << 60
         best = int(change.argmin()) if len(change) else 0
-        fresh = 2 * count[capacity - s] + 1 if s < capacity else 0
-        if len(change) and change[best] <= fresh:
+        if len(change) and count[s + best]:
             gap = s + best
             b = bins[gap].pop()
             count[gap] -= 1
@@ -91,18 +88,15 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, group: int = GROU
     def placed(df: DataFrame, n: int, base: int, keep: int) -> DataFrame:
         groups = max(1, -(-n // group))
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["dealt", "doc_id", "piece"], kind="stable")
-            size = pdf["length"].to_numpy()
-            last = size <= np.quantile(size, SHORTEST)
-            pdf = pdf.iloc[np.lexsort((np.where(last, -size, 0), last))]
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
             where, offset = sum_of_squares(pdf["length"].to_numpy(), capacity)
             filled = np.bincount(where, weights=pdf["length"].to_numpy())
             loose = np.isin(where, np.argsort(filled, kind="stable")[: int(len(filled) * keep / 100)]) if groups > 1 else np.zeros(len(where), bool)
-            return pdf.drop(columns=["part", "dealt"]).assign(sequence_id=(int(key[0]) + base << 40) + where, offset=offset, loose=loose)
+            return pdf.drop(columns="part").assign(sequence_id=(int(key[0]) + base << 40) + where, offset=offset, loose=loose)
 
-        dealt = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-        return df.withColumn("dealt", F.xxhash64(dealt)).withColumn("part", F.pmod(dealt, F.lit(groups)).cast("long")).groupBy("part").applyInPandas(run, schema)
+        part = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("long")
+        return df.withColumn("part", part).groupBy("part").applyInPandas(run, schema)
 
     first = Table(placed(pieces, pieces.count(), 0, 1), "packed").df
     again = first.where("loose").drop("sequence_id", "offset", "loose")
