@@ -87,8 +87,7 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         if b - a >= k:
             got = np.unique(s[a : b - k + 1])
         elif b > a:
-            x = np.uint64(b - a)
-            one = np.array([x * np.uint64(0xA24BAED4963EE407)])
+            one = np.array([b - a], np.uint64) * np.uint64(0xA24BAED4963EE407)
             for j in range(a, b):
                 one = mixed(one + h[j])
             got = one
