@@ -149,8 +149,18 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
     stems and words that a kept stem covers are dropped.
     """
     once, twice = (Counter(), Counter()), (Counter(), Counter())
+    before: dict[str, set] = {}
+    lines: set = set()
     for t, y in zip(texts, toxic):
-        words, stems = Counter(_WORD.findall(t.lower())), Counter()
+        longest = set(sorted(t.split("\n"), key=len)[-3:])
+        if longest & lines:  # a copy of another text would count its words again
+            continue
+        lines |= longest
+        found = _WORD.findall(t.lower())
+        words, stems = Counter(found), Counter()
+        if y:
+            for a, b in zip(found, found[1:]):
+                before.setdefault(b, set()).add(a)
         for w, c in words.items():
             for k in STEMS:
                 if len(w) >= k:
@@ -158,11 +168,13 @@ def lexicon(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
         once[int(y)].update(words.keys())
         twice[int(y)].update([s for s, c in stems.items() if c > 1])
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
+    least = max(SUPPORT, 0.01 * n1)
 
     def strong(neg: Counter, pos: Counter, most: float) -> dict:
-        return {w: c for w, c in pos.items() if c >= SUPPORT and len(w) >= 4 and (c + 0.5) / (n1 + 1) * (n0 + 1) / (neg[w] + 0.5) >= ODDS and neg[w] <= most * c}
+        return {w: c for w, c in pos.items() if c >= least and len(w) >= 4 and (c + 0.5) / (n1 + 1) * (n0 + 1) / (neg[w] + 0.5) >= ODDS and neg[w] <= most * c}
 
     words, stems = strong(*once, 0.05), strong(*twice, 0.3)
+    words = {w: c for w, c in words.items() if len(before.get(w, ())) >= SUPPORT}
     whole = {w for w in words if all(words.get(o, 0) <= words[w] for o in words if o.startswith(w))}
     forms = {s: sum(1 for w in once[1] if w.startswith(s)) for s in stems}
     stems = {s: c for s, c in stems.items() if forms[s] >= 5}  # a stem has forms; else the word itself is meant
