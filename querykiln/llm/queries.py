@@ -1,7 +1,7 @@
 """The registered queries of this package and their SQL."""
 
-from querykiln.llm import bpe, langid, minhash, packing, quality, toxicity
+from querykiln.llm import bpe, langid, linerules, minhash, packing, quality, toxicity
 
-_MODULES = (langid, quality, minhash, bpe, toxicity, packing)
+_MODULES = (langid, quality, minhash, bpe, toxicity, linerules, packing)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: f for m in _MODULES for k, f in m.ORACLE.items()}
