@@ -1,5 +1,75 @@
-"""Corpus pipeline (stages follow)."""
-STAGES = []
+"""Corpus pipeline: quality rules, toxicity, line dedup, MinHash near-dedup, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows it is given and returns a
+DataFrame; every stage is written as Parquet in the shared folder and read again as
+the next one's documents. All but the last keep the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from querykiln.llm import linededup, linerules, minhash, packing, toxicity
+from querykiln.llm.common import materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars brought up to date with the text."""
+    return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents that fail the base rule or are mostly boilerplate go."""
+    verdict = linerules.judge(docs, linerules.learn(docs))
+    return _only(docs, verdict.where("kept").select("doc_id"))
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that score as toxic go; learned from the labels of sf_dir."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+    return docs.join(toxic.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: lines that an earlier line resembles are taken out; no document goes."""
+    return _documents(linededup.dedup_lines(docs))
+
+
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5 on five-word shingles: of each group of near-duplicates the smallest doc_id stays."""
+    found = minhash.near_duplicates(docs)
+    return _only(docs, found.where("kept").select("doc_id"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: pieces of all documents, packed into sequences."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("line_dedup", line_dedup),
+    ("minhash_dedup", minhash_dedup),
+    ("packing", packing_stage),
+]
+#: The line model and the lexicon are learned, which SQL cannot express; see tests/llm.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
