@@ -1,4 +1,6 @@
 """Registry of queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from querykiln.plans import retrieval
+
+QUERIES = {**retrieval.QUERIES}
+ORACLE = {**retrieval.ORACLE}
