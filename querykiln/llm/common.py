@@ -47,10 +47,16 @@ def _clean() -> None:
 
 
 class Table:
-    """A DataFrame written to the shared folder; ``drop`` deletes its files."""
+    """A DataFrame written to the shared folder; ``drop`` deletes its files.
 
-    def __init__(self, df: DataFrame, name: str):
+    small: its rows are few beside the input (links, pairs, labels), so four files a
+    core will do, however many shuffle partitions there are.
+    """
+
+    def __init__(self, df: DataFrame, name: str, small: bool = False):
         self.spark = df.sparkSession
+        if small:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         self.path = f"{shared_dir(self.spark).rstrip('/')}/querykiln/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         _WRITTEN.append((self.spark, self.path))
@@ -139,14 +145,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     task needs all edges of a node: minima are pre-aggregated, joins may be split.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    now = Table(edges.mapInPandas(contract, "u long, v long").distinct(), "edges")
+    now = Table(edges.mapInPandas(contract, "u long, v long").distinct(), "edges", small=True)
     before = None
     for _ in range(max_rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = _star(both, True).where("u <> v").distinct()
+        big = _star(both, True).where("u <> v")
         down = big.where("u > v").unionByName(big.where("u < v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         small = _star(down, False).where("u <> v").distinct()
-        new = Table(small, "edges")
+        new = Table(small, "edges", small=True)
         said = new.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         now.drop()
         now = new

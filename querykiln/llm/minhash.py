@@ -15,17 +15,20 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querykiln.llm.bpe import in_blocks
 from querykiln.llm.bytekit import Words, mixed, shingles
-from querykiln.llm.common import Table, columns_of, components
+from querykiln.llm.common import Table, columns_of, components, contract
 
 SHINGLE = 5
 PERCENT = 80
 HALF, ROWS = 10, 2
+#: Nodes of a block, about; a task compares two blocks.
+BLOCK = 256
 _RNG = np.random.Generator(np.random.PCG64(77))
 _ODD = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -97,6 +100,13 @@ def _tables(nodes: DataFrame, half: int) -> DataFrame:
     return live.select("node", F.explode("s0").alias("x"), "s1").select("node", "x", F.explode("s1").alias("y")).select(F.xxhash64("x", "y").alias("key"), "node")
 
 
+def _hops(links: DataFrame) -> DataFrame:
+    """(node, component) after two hops to the smallest linked node: equal labels are linked, unequal ones may be."""
+    one = links.groupBy(F.greatest("u", "v").alias("node")).agg(F.min(F.least("u", "v")).alias("up"))
+    two = one.join(one.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left")
+    return Table(two.select("node", F.coalesce("top", "up").alias("component")), "labels", small=True).df
+
+
 def _spread(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     """(key, node, comp) of the keys whose nodes aren't all of one component."""
     if comps is None:
@@ -106,6 +116,50 @@ def _spread(members: DataFrame, comps: DataFrame | None) -> DataFrame:
     return now.join(open_, "key", "left_semi")
 
 
+def _across(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between nodes of one family but different components; enough of them to join what is linked.
+
+    A family's nodes are dealt to blocks, each pair of blocks is one task that counts
+    the shared shingles of its nodes as a product of incidence matrices. So no pair
+    becomes a row, no task holds a whole family, and none is skipped.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        if pdf["comp"].nunique() < 2:
+            return none
+        sets = []
+        for a, b in in_blocks(pdf["text"].tolist(), 1_000_000):
+            x, o = shingles(Words(pdf["text"].iloc[a:b].tolist(), lower=True), k)
+            sets += [x[i:j] for i, j in zip(o[:-1].tolist(), o[1:].tolist())]
+        n = np.array([len(x) for x in sets])
+        of = np.repeat(np.arange(len(sets)), n)
+        _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        use = count[inverse] > 1
+        row, col = of[use], number[inverse[use]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            i, j = np.searchsorted(col, [c, c + 4096])
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[row[i:j], col[i:j] - c] = 1
+            both += m @ m.T
+        comp, block, node = pdf["comp"].to_numpy(), pdf["block"].to_numpy(), pdf["node"].to_numpy()
+        ok = (100 * both.astype(np.float64) >= percent * (n[:, None] + n[None, :] - both.astype(np.float64))) & (comp[:, None] != comp[None, :])
+        if key[1] != key[2]:
+            ok &= block[:, None] != block[None, :]
+        u, v = np.nonzero(np.triu(ok, 1))
+        return pd.concat(contract([pd.DataFrame({"u": node[u], "v": node[v]})])) if len(u) else none
+
+    many = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(many, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    return dealt.groupBy("family", "i", "j").applyInPandas(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, half: int = HALF, rows: int = ROWS) -> DataFrame:
     """Components of documents whose k-word shingle sets have Jaccard >= percent / 100.
 
@@ -119,8 +173,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     Texts with equal sets are one node. Candidates are confirmed in three rounds, so
     that a group of n copies costs about n checks: each node against the smallest
     node it shares a key with; then, per key, one node of each component against the
-    smallest; then all pairs left within a key whose nodes are in different
-    components. After that no candidate between components is unchecked.
+    smallest; then, block by block, all nodes of a family (nodes joined by keys that
+    still have more than one component). So no candidate stays unchecked.
     """
     sig = Table(signatures(docs, k, half, rows), "signatures").df
     own = sig.where("klass is not null and doc_id is not null")
@@ -132,28 +186,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     texts = Table(columns_of(docs, "doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts").df
     members, firsts = members.select("key", "node"), members.groupBy("node").agg(F.min("rep").alias("u"))
 
-    todo = Table(firsts.where("u < node").select("u", F.col("node").alias("v")), "pairs")
-    tested, links = todo.df, Table(verify(todo.df, texts, k, percent), "links").df
-    comps = components(links)
+    todo = Table(firsts.where("u < node").select("u", F.col("node").alias("v")), "pairs", small=True).df
+    links = Table(verify(todo, texts, k, percent), "links", small=True).df
 
-    mixed_keys = Table(_spread(members, comps), "spread").df
+    mixed_keys = Table(_spread(members, _hops(links)), "spread").df
     per = mixed_keys.groupBy("key", "comp").agg(F.min("node").alias("v"))
     low = per.groupBy("key").agg(F.min(F.struct("v", "comp")).alias("low"))
     pairs = per.join(low, "key").where("comp <> low.comp").select(F.col("low.v").alias("u"), "v").distinct()
-    todo = Table(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-    tested = tested.unionByName(todo.df)
-    links = Table(verify(todo.df, texts, k, percent).unionByName(comps.select(F.col("component").alias("u"), F.col("node").alias("v"))), "links").df
-    comps = components(links)
-
-    mixed_keys = Table(_spread(mixed_keys.select("key", "node"), comps), "spread").df
-    kinds = mixed_keys.select("key", "comp").distinct()
-    across = kinds.alias("a").join(kinds.alias("b"), F.expr("a.key = b.key and a.comp < b.comp")).select("a.key", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
-    side = mixed_keys.select("key", F.col("comp").alias("ca"), F.col("node").alias("na"))
-    other = mixed_keys.select("key", F.col("comp").alias("cb"), F.col("node").alias("nb"))
-    pairs = across.join(side, ["key", "ca"]).join(other, ["key", "cb"]).select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v")).distinct()
-    todo = Table(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-    links = Table(verify(todo.df, texts, k, percent).unionByName(comps.select(F.col("component").alias("u"), F.col("node").alias("v"))), "links").df
-    comps = components(links)
+    more = Table(pairs.join(todo, ["u", "v"], "left_anti"), "pairs", small=True).df
+    links = Table(verify(more, texts, k, percent).unionByName(links), "links", small=True).df
+
+    comps = _hops(links)
+    mixed_keys = _spread(mixed_keys.select("key", "node"), comps)
+    lowest = mixed_keys.groupBy("key").agg(F.min("node").alias("u"))
+    families = components(mixed_keys.join(lowest, "key").select("u", F.col("node").alias("v")))
+    named = families.withColumnRenamed("component", "family").join(comps, "node", "left")
+    members = Table(named.select("node", "family", F.coalesce("component", "node").alias("comp")), "families", small=True).df
+    comps = components(_across(members, texts, k, percent).unionByName(links))
 
     final = klass.select("klass", "node").join(comps, "node", "left").select("klass", F.coalesce("component", "node").alias("component"))
     out = sig.select("doc_id", "n_shingles", "klass").join(final, "klass", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -208,7 +208,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
             return pd.DataFrame({"node": node, "n": count, "root": root})[count > 0]
         return pd.DataFrame({"node": node[:0], "n": count[:0], "root": node[:0]})
 
-    found = Table(dealt.select("label", "d", "i", "j", "node", "copies", "own", "x").groupBy("label", "d", "i", "j").applyInPandas(run, "node long, n long, root long"), "links").df
+    found = Table(dealt.select("label", "d", "i", "j", "node", "copies", "own", "x").groupBy("label", "d", "i", "j").applyInPandas(run, "node long, n long, root long"), "links", small=True).df
     comps = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     known = nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(comps, "node", "left").select("h1", "h2", F.lit(True).alias("ok"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
