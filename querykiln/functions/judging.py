@@ -59,13 +59,14 @@ def _number(part: Column, kind: Column) -> Column:
 
 def coerce_int(v, name: str = "connectivity_score", default: int = 0) -> Column:
     """0 to 100, halves to even; what isn't a finite number is the default."""
-    n = F.least(F.greatest(F.bround(_number(*_field(v, name)), 0), F.lit(0.0)), F.lit(100.0))
-    return F.coalesce(n.cast("int"), F.lit(default))
+    n = _number(*_field(v, name))
+    return F.when(n.isNotNull(), F.least(F.greatest(F.bround(n, 0), F.lit(0.0)), F.lit(100.0)).cast("int")).otherwise(default)
 
 
 def coerce_float(v, name: str = "confidence", default: float = 0.5) -> Column:
     """0 to 1; what isn't a finite number is the default."""
-    return F.coalesce(F.least(F.greatest(_number(*_field(v, name)), F.lit(0.0)), F.lit(1.0)), F.lit(default))
+    n = _number(*_field(v, name))
+    return F.when(n.isNotNull(), F.least(F.greatest(n, F.lit(0.0)), F.lit(1.0))).otherwise(default)
 
 
 def reasoning_type(item) -> Column:

@@ -1,6 +1,6 @@
 """Registry of queries and their SQL."""
 
-from querykiln.plans import retrieval
+from querykiln.plans import judging, retrieval
 
-QUERIES = {**retrieval.QUERIES}
-ORACLE = {**retrieval.ORACLE}
+QUERIES = {**retrieval.QUERIES, **judging.QUERIES}
+ORACLE = {**retrieval.ORACLE, **judging.ORACLE}
