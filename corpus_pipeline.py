@@ -22,7 +22,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """The rows whose doc_id is among ``ids``; null counts as an id."""
+    found = ids.distinct().select(F.col("doc_id").alias("_id"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
