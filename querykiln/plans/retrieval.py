@@ -102,7 +102,7 @@ SELECT p_partkey, array_to_string(hits, '|') AS hits, CAST(len(hits) AS BIGINT)
 
 
 def split_candidates(spark, d):
-    b = _t(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(T.normalize_ws("text"), " "), 1, 8), " ").alias("topic"))
+    b = _t(spark, d, "benchmark").select("item_id", T.normalize_ws("text").alias("topic"))
     return b.select("item_id", "topic", F.array_join(T.split_candidates("topic"), "|").alias("candidates"))
 
 
@@ -198,7 +198,7 @@ def _topk_sql(cap):
 
 
 def hard_negatives(spark, d):
-    docs = _t(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.split(T.normalize_ws("text"), " "), 1, 12), " ").alias("query"), F.col("text").alias("pos"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.split(T.normalize_ws("text"), " "), 1, 12), " ").alias("query"), F.col("text").alias("pos"))
     return _ranked(bm25.hard_negatives(bm25.Index(corpus(spark, d)), docs, top=50, n_neg=12))
 
 
