@@ -204,9 +204,10 @@ nodes AS (SELECT qid AS seed, qid FROM present UNION SELECT seed, dst FROM outgo
 stat AS (SELECT e.qid AS seed, (SELECT count(*) FROM nodes n WHERE n.seed = e.qid) AS num_nodes, (SELECT count(*) FROM edges x WHERE x.seed = e.qid) AS num_edges, e.qid IN (SELECT qid FROM present) AS ok FROM entity e)"""
 
 
-def _seed_nations(spark, d):
+def _seeded(spark, d):
+    """The graph with all its entities as seeds."""
     entity, search, claim = _graph(spark, d)
-    seed = entity.where(F.col("qid").rlike("^[RNW]")).select("qid")
+    seed = entity.select("qid")
     return entity, search, claim, seed
 
 
@@ -217,18 +218,18 @@ def kg_seed(spark, d):
 
 
 def kg_outgoing(spark, d):
-    _, _, claim, seed = _seed_nations(spark, d)
+    _, _, claim, seed = _seeded(spark, d)
     return G.neighbours(seed, claim).select("seed", "prop", "dst", F.col("pair_ord").cast("long").alias("pair_ord"))
 
 
 def kg_incoming(spark, d):
-    entity, _, claim, seed = _seed_nations(spark, d)
+    entity, _, claim, seed = _seeded(spark, d)
     near = G.neighbours(seed, claim)
     return G.edges(seed, near, G.nodes(seed, near, entity), claim).select("seed", "src", "prop", "dst", "direction")
 
 
 def _topics(spark, d):
-    p = _t(spark, d, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("row_uid"), F.lit(0).alias("topic_ord"), F.when(F.col("p_size") % 4 == 0, F.lit("")).when(F.col("p_size") % 4 == 1, F.concat("p_name", F.lit(" of "), "p_brand")).when(F.col("p_size") % 4 == 2, F.concat("p_type", F.lit(" goods"))).otherwise(F.concat(F.lit("NATION_"), (F.col("p_partkey") % 10).cast("string"))).alias("topic"))
+    p = _t(spark, d, "part").select(F.col("p_partkey").alias("row_uid"), F.lit(0).alias("topic_ord"), F.when(F.col("p_size") % 4 == 0, F.lit("")).when(F.col("p_size") % 4 == 1, F.concat("p_name", F.lit(" of "), "p_brand")).when(F.col("p_size") % 4 == 2, F.concat("p_type", F.lit(" goods"))).otherwise(F.concat(F.lit("NATION_"), (F.col("p_partkey") % 10).cast("string"))).alias("topic"))
     return p
 
 
@@ -247,7 +248,7 @@ SELECT row_uid, topic, CASE WHEN m = 0 THEN 'no_topic' WHEN found IS NULL THEN '
 
 
 def neighbor_relations(spark, d):
-    entity, _, claim, seed = _seed_nations(spark, d)
+    entity, _, claim, seed = _seeded(spark, d)
     near = G.neighbours(seed, claim)
     node = G.nodes(seed, near, entity)
     return G.relations(node, G.edges(seed, near, node, claim))
@@ -262,7 +263,7 @@ def neighbor_sample(spark, d):
 
 
 def select_edges(spark, d):
-    entity, _, claim, seed = _seed_nations(spark, d)
+    entity, _, claim, seed = _seeded(spark, d)
     docs = _t(spark, d, "region").select(F.col("r_regionkey").alias("row_uid"), F.concat(F.lit("small red big ring widget gear "), F.lower("r_name"), F.lit(" nation")).alias("pos"))
     edge = claim.where(F.col("src").rlike("^[NW]")).withColumn("row_uid", F.substring("dst", 2, 9).cast("int")).join(docs, "row_uid")
     edge = edge.withColumn("edge_ord", F.struct("prop", "src"))
