@@ -2,8 +2,9 @@
 
 Vectors of one label are dealt to shards of bounded size. Each pair of shards is a
 task: a hierarchical navigable small-world graph over the one is queried by all
-vectors of the other. Beams widen until an audit against brute force passes; beams
-full of links are replaced by an exact scan. Hits are confirmed by cosine in double
+vectors of the other. Beams widen until an audit against brute force passes, which
+draws queries until it has seen enough true links; a task that doesn't have them is
+scanned exactly. So are queries whose beams are full of links. Hits are confirmed by cosine in double
 precision. A task returns counts and a spanning forest of its links, never pairs.
 """
 
@@ -20,7 +21,8 @@ COSINE = 0.93
 #: Distinct vectors of a shard, about; a task holds two shards.
 SHARD = 16_384
 LINKS, BEAM = 16, 48
-AUDIT, RECALL = 64, 0.99
+#: Queries an audit draws at a time, distinct true links it must have seen, and the share of them to be found.
+AUDIT, SEEN, RECALL = 256, 300, 0.99
 
 
 class SmallWorld:
@@ -130,11 +132,41 @@ class SmallWorld:
         return self._beam(q, self._entries(q, near, members[:1]), near, beam)
 
 
+def _pairs(u: np.ndarray, v: np.ndarray, n: int, same: bool) -> np.ndarray:
+    """Distinct pairs as one number each; if the queries are the index, without order and self-matches."""
+    if same:
+        u, v = np.minimum(u, v)[u != v], np.maximum(u, v)[u != v]
+    return np.unique(u.astype(np.int64) * n + v)
+
+
+def _audit(index: np.ndarray, queries: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All matches (query, indexed) of queries drawn at random, and whether ``SEEN`` distinct links came before the queries ran out."""
+    order = np.random.default_rng(1).permutation(len(queries))
+    us, vs, seen = [], [], 0
+    for a in range(0, len(order), AUDIT):
+        drawn = order[a : a + AUDIT]
+        u, v = np.nonzero(queries[drawn] @ index.T >= cosine)
+        us.append(drawn[u])
+        vs.append(v)
+        seen += len(_pairs(us[-1], v, len(index), same))
+        if seen >= SEEN:  # blocks may share links: count them all together
+            seen = len(_pairs(np.concatenate(us), np.concatenate(vs), len(index), same))
+        if seen >= SEEN and a + AUDIT < len(order):
+            return np.concatenate(us), np.concatenate(vs), True
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *us]), np.concatenate([none, *vs]), False
+
+
 def links_of(index: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, indexed) with cosine of at least ``cosine``; rows are unit vectors in double precision."""
-    graph, n = SmallWorld(index), len(queries)
-    sample = np.random.default_rng(1).permutation(n)[:AUDIT]
-    truth = queries[sample] @ index.T >= cosine
+    """Pairs (query, indexed) with cosine of at least ``cosine``; rows are unit vectors in double precision.
+
+    If ``queries`` is ``index`` itself, each vector's match with itself is no evidence of recall.
+    """
+    n, same = len(queries), queries is index
+    true_u, true_v, enough = _audit(index, queries, cosine, same)
+    if not enough:  # every query was drawn: these are all pairs
+        return true_u, true_v
+    truth, graph = _pairs(true_u, true_v, len(index), same), SmallWorld(index)
     q32 = queries.astype(np.float32)
     while True:
         us, vs, full = [], [], []
@@ -157,12 +189,9 @@ def links_of(index: np.ndarray, queries: np.ndarray, cosine: float, beam: int =
         for a in range(0, len(full), 512):
             x, y = np.nonzero(queries[full[a : a + 512]] @ index.T >= cosine)
             u, v = np.concatenate([u, full[a : a + 512][x]]), np.concatenate([v, y])
-        got = np.zeros_like(truth)
-        place = {int(s): i for i, s in enumerate(sample)}
-        mine = np.isin(u, sample)
-        got[[place[int(s)] for s in u[mine]], v[mine]] = True
-        if (got & truth).sum() >= RECALL * truth.sum():
-            return u, v
+        found = np.isin(truth, _pairs(u, v, len(index), same)).sum()
+        if found >= RECALL * len(truth):
+            return np.concatenate([u, true_u]), np.concatenate([v, true_v])
         beam *= 2
 
 
@@ -194,7 +223,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHA
         b = np.flatnonzero(own == key[3])
         count = np.zeros(len(node), np.int64)
         if len(a) and len(b):
-            u, v = links_of(x[a], x[b], cosine)
+            left = x[a]
+            u, v = links_of(left, left if key[2] == key[3] else x[b], cosine)
             u, v = b[u], a[v]
             lo, hi = np.minimum(u, v), np.maximum(u, v)
             pair = np.unique(np.column_stack([lo, hi])[lo != hi], axis=0)
