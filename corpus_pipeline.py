@@ -21,34 +21,46 @@ def _documents(df: DataFrame) -> DataFrame:
     return df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ``ids``; null counts as an id."""
-    found = ids.distinct().select(F.col("doc_id").alias("_id"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """COLUMNS and ``_id``: doc_id, or where an id is null or repeated a key of each row's own in its place.
+
+    Keys keep the order of doc_id, null last, and are written once so that they stay
+    the same; the rows are dealt by range, ties by text, so no id is gathered anywhere.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_id", F.col("doc_id"))
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").head(1):
+        return docs
+    order = (F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc(), F.col("_tie").asc())
+    dealt = docs.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.withColumn("doc_id", F.monotonically_increasing_id()).drop("_tie"), "keyed")
+
+
+def _named(keyed: DataFrame) -> DataFrame:
+    """COLUMNS with the ids that the rows came with."""
+    return _documents(keyed.withColumn("doc_id", F.col("_id")))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that fail the base rule or are mostly boilerplate go."""
-    verdict = linerules.judge(docs, linerules.learn(docs))
-    return _only(docs, verdict.where("kept").select("doc_id"))
+    return linerules.keep(docs.select(*COLUMNS), linerules.learn(docs))
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that score as toxic go; learned from the labels of sf_dir."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    toxic = toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
-    return docs.join(toxic.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.clean(docs.select(*COLUMNS), model)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: lines that an earlier line resembles are taken out; no document goes."""
-    return _documents(linededup.dedup_lines(docs))
+    return _named(linededup.dedup_lines(_keyed(docs)))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5 on five-word shingles: of each group of near-duplicates the smallest doc_id stays."""
-    found = minhash.near_duplicates(docs)
-    return _only(docs, found.where("kept").select("doc_id"))
+    keyed = _keyed(docs)
+    found = minhash.near_duplicates(keyed).where("kept").select("doc_id")
+    return keyed.join(found, "doc_id", "left_semi").withColumn("doc_id", F.col("_id")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

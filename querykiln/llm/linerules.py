@@ -199,9 +199,11 @@ def train(chains: list, rounds: int = 70, rate: float = 0.15, ridge: float = 1e-
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """A field from at most ``sample`` texts; their lines are labelled by labelling functions, no labels are read."""
-    ids = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.sparkSession.createDataFrame(ids.toPandas(), "doc_id long")  # at most ``sample``
-    texts = columns_of(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").toPandas().dropna().sort_values(["doc_id", "text"])["text"].tolist()
+    named = columns_of(docs, "doc_id", "text").where("text is not null").withColumn("h", F.xxhash64("text"))
+    ids = named.select("doc_id", "h").orderBy(F.xxhash64(F.coalesce("doc_id", "h")), "doc_id", "h").limit(sample).collect()  # at most ``sample``
+    chosen = docs.sparkSession.createDataFrame(sorted({tuple(r) for r in ids}, key=repr), "id long, th long")
+    picked = named.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("th")), "left_semi").dropDuplicates(["doc_id", "h"])
+    texts = picked.select("doc_id", "text").toPandas().sort_values(["doc_id", "text"])["text"].tolist()
     chains = []
     for a, b in in_blocks(texts, 500_000):
         lines = Lines(texts[a:b])
@@ -211,6 +213,27 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
     return train(chains)
 
 
+def _judged(f: Field, batches):
+    """Batches of FIELDS, in the order of the rows."""
+    for batch in batches:
+        doc, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text").to_pylist()
+        for a, b in in_blocks(texts, 1_000_000):
+            m = Lines(texts[a:b])
+            failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > REPEATS * m.n_words)
+            score, cut = (m.x @ f.w), np.searchsorted(m.text, np.arange(b - a + 1))
+            some = np.flatnonzero(m.words > 0)
+            at = np.searchsorted(some, cut)
+            share = np.zeros(b - a)
+            scores, words = score[some].tolist(), m.words[some]
+            for t, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                if i < j:
+                    label = np.array(f.viterbi(scores[i:j]))
+                    share[t] = words[i:j][label == 0].sum() / words[i:j].sum()
+            kept = ~failed & (share >= CONTENT)
+            cols = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words]
+            yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(failed), pa.array(kept), pa.array(share)], [x.split()[0] for x in FIELDS.split(", ")])
+
+
 def judge(docs: DataFrame, field: Field) -> DataFrame:
     """FIELDS of every whole text.
 
@@ -220,28 +243,19 @@ def judge(docs: DataFrame, field: Field) -> DataFrame:
     each judged; null ids pass through; extra columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)
+    return columns_of(docs, "doc_id", "text").mapInArrow(lambda batches: _judged(held.value, batches), FIELDS)
+
+
+def keep(docs: DataFrame, field: Field) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, each by its own text whatever its id; all columns pass through."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
-        f = held.value
         for batch in batches:
-            doc, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text").to_pylist()
-            for a, b in in_blocks(texts, 1_000_000):
-                m = Lines(texts[a:b])
-                failed = (m.n_words < MIN_WORDS) | (100 * m.n_repeat_words > REPEATS * m.n_words)
-                score, cut = (m.x @ f.w), np.searchsorted(m.text, np.arange(b - a + 1))
-                some = np.flatnonzero(m.words > 0)
-                at = np.searchsorted(some, cut)
-                share = np.zeros(b - a)
-                scores, words = score[some].tolist(), m.words[some]
-                for t, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                    if i < j:
-                        label = np.array(f.viterbi(scores[i:j]))
-                        share[t] = words[i:j][label == 0].sum() / words[i:j].sum()
-                kept = ~failed & (share >= CONTENT)
-                cols = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words]
-                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(failed), pa.array(kept), pa.array(share)], [x.split()[0] for x in FIELDS.split(", ")])
-
-    return columns_of(docs, "doc_id", "text").mapInArrow(run, FIELDS)
+            kept = [k for got in _judged(held.value, [batch]) for k in got.column("kept").to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_linerules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(got["text"].tolist(), got["_y"].to_numpy(float))
 
 
+def _scored(m: Model, batch: pa.RecordBatch) -> np.ndarray:
+    x = np.array([m.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(m.weights))
+    return m.score(x)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every whole text.
 
@@ -228,12 +233,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = held.value
         for batch in batches:
-            x = np.array([m.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(m.weights))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(m.score(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(_scored(m, batch))], ["doc_id", "score"])
 
     return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below THRESHOLD, each by its own text whatever its id; all columns pass through."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scored(held.value, batch) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: learn where crc32(doc_id) mod 5 is not 0, score all documents."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
