@@ -28,10 +28,10 @@ def subgraphs(rows: DataFrame, entity: DataFrame, search: DataFrame, claim: Data
     rows = rows.withColumn("center_topics", F.slice(topics_of(rows), 1, max_topics))
     asked = rows.select(F.col("row_ord").alias("row_uid"), F.posexplode(F.when(F.size("center_topics") == 0, F.array(F.lit(""))).otherwise(F.col("center_topics"))).alias("topic_ord", "topic"))
     got = graph.subgraphs(asked, entity, search, claim, **how)
-    near = graph.neighbours(got.where("seed is not null").select(F.col("seed").alias("qid")).distinct(), claim)
     seeds = got.where("seed is not null").select(F.col("seed").alias("qid")).distinct()
+    near = graph.neighbours(seeds, claim, **{k: how[k] for k in ("props", "most") if k in how})
     node = graph.nodes(seeds, near, entity)
-    edge = graph.edges(seeds, near, node, claim)
+    edge = graph.edges(seeds, near, node, claim, **{k: how[k] for k in ("reverse",) if k in how})
     packed_nodes = node.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "qid", "label", "description", "aliases"))), lambda n: n.dropFields("node_ord")).alias("nodes"))
     packed_edges = edge.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "src", "prop", "dst", "direction"))), lambda e: e.dropFields("edge_ord")).alias("edges"))
     full = got.join(packed_nodes, "seed", "left").join(packed_edges, "seed", "left")
