@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,18 +13,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (local tests) is a temporary folder
-    made and set as the checkpoint folder.
+    Only where a local session leaves it unset (tests) is a temporary folder made and
+    set as the checkpoint folder; on a cluster that is an error, since executors
+    would each write to a folder of their own.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         held = sc._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="querykiln-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
@@ -46,23 +50,49 @@ def _clean() -> None:
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def _swept(spark: SparkSession):
+    """Shuffle files of the queries run inside go as each ends: what they made is written and needs them no more."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Table:
     """A DataFrame written to the shared folder; ``drop`` deletes its files.
 
     small: its rows are few beside the input (links, pairs, labels), so four files a
-    core will do, however many shuffle partitions there are.
+    core will do, however many shuffle partitions there are. by: columns to bucket and
+    sort by, so that later joins and groupings on them need no shuffle of this table;
+    dealt: its rows are dealt by them already, to as many partitions as a shuffle has.
     """
 
-    def __init__(self, df: DataFrame, name: str, small: bool = False):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame, name: str, small: bool = False, by: tuple[str, ...] = (), dealt: bool = False):
+        self.spark, self.name = df.sparkSession, None
+        key = uuid.uuid4().hex
+        self.path = f"{shared_dir(self.spark).rstrip('/')}/querykiln/{name}-{key}"
+        _WRITTEN.append((self.spark, self.path))
         if small:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/querykiln/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        _WRITTEN.append((self.spark, self.path))
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        with _swept(self.spark):
+            if by:
+                n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                self.name = f"querykiln_{name.replace('-', '_')}_{key}"
+                (df if dealt else df.repartition(n, *by)).write.bucketBy(n, *by).sortBy(*by).option("compression", "zstd").option("path", self.path).saveAsTable(self.name)
+                self.df = self.spark.table(self.name)
+            else:
+                df.write.parquet(self.path)
+                self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
         _delete(self.spark, self.path)
 
 
@@ -76,10 +106,6 @@ def crc32_text(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def crc32_of(value) -> int:
-    return zlib.crc32(str(value).encode())
-
-
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with ours."""
     return df.select(*(df[f"`{n}`"].alias(n) for n in names))
