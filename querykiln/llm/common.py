@@ -165,13 +165,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (u, v long) as (node, component).
 
     ``component`` is the smallest node reachable; nodes without an edge are
-    absent. Each partition first shrinks its own edges to a spanning forest, then
-    large-star and small-star steps alternate until nothing changes; each round is
-    written to the shared folder, so a lost executor only repeats a round. No
-    task needs all edges of a node: minima are pre-aggregated, joins may be split.
+    absent. Edges are dealt by v, so that a node stands in the forest of one partition
+    and of those where it is a hub u, not of all; each partition first shrinks its own
+    edges to a spanning forest, a block at a time, then large-star and small-star steps
+    alternate until nothing changes. Each round is written to the shared folder, so a
+    lost executor only repeats a round. Minima are pre-aggregated, joins may be split.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    now = Table(edges.mapInPandas(contract, "u long, v long").distinct(), "edges", small=True)
+    now = Table(edges.distinct().repartition("v").mapInPandas(contract, "u long, v long").distinct(), "edges", small=True)
     before = None
     for _ in range(max_rounds):
         both = now.df.unionByName(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -52,19 +52,19 @@ def half_keys(sets: np.ndarray, offsets: np.ndarray, half: int, rows: int) -> np
 
 
 def signatures(docs: DataFrame, k: int, half: int = HALF, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, klass (digest of the shingle set, null if empty), keys (2 * half longs)."""
+    """doc_id, th (hash of the text), n_shingles, klass (digest of the shingle set, null if empty), keys (2 * half longs)."""
 
     def run(batches):
         for batch in batches:
-            doc, texts = batch.column("doc_id").cast(pa.int64()), batch.column("text").to_pylist()
+            doc, th, texts = batch.column("doc_id").cast(pa.int64()), batch.column("th"), batch.column("text").to_pylist()
             for a, b in in_blocks(texts, 1_000_000):
                 sets, offsets = shingles(Words(texts[a:b], lower=True), k)
                 keys = half_keys(sets, offsets, half, rows).view(np.int64)
                 n = np.diff(offsets)
                 klass = [hashlib.blake2b(sets[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), pa.array(n, pa.int64()), pa.array(klass, pa.binary()), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * 2 * half, pa.array(keys.ravel()))], ["doc_id", "n_shingles", "klass", "keys"])
+                yield pa.RecordBatch.from_arrays([doc.slice(a, b - a), th.slice(a, b - a), pa.array(n, pa.int64()), pa.array(klass, pa.binary()), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * 2 * half, pa.array(keys.ravel()))], ["doc_id", "th", "n_shingles", "klass", "keys"])
 
-    return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, klass binary, keys array<long>")
+    return columns_of(docs, "doc_id", "text").withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, n_shingles long, klass binary, keys array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,37 +176,50 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     smallest; then, block by block, all nodes of a family (nodes joined by keys that
     still have more than one component). So no candidate stays unchecked.
     """
-    sig = Table(signatures(docs, k, half, rows), "signatures").df
+    held: list[Table] = []
+
+    def table(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        held.append(Table(df, name, small))
+        return held[-1].df
+
+    sig = table(signatures(docs, k, half, rows), "signatures")
     own = sig.where("klass is not null and doc_id is not null")
-    klass = Table(own.groupBy("klass").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "klass").df
+    first = own.groupBy("klass").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.first("keys").alias("keys"))
+    klass = table(first.select("klass", "f.doc_id", "f.th", "keys", F.monotonically_increasing_id().alias("node")), "klass")
     keyed = _tables(klass, half)
     shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("top")).where("rep < top").select("key", "rep")
-    members = Table(keyed.join(shared, "key"), "members").df
-    nodes = members.select("node").distinct()
-    texts = Table(columns_of(docs, "doc_id", "text").join(nodes, F.col("doc_id") == F.col("node")).select("node", "text"), "texts").df
+    members = table(keyed.join(shared, "key"), "members")
+    nodes = klass.select("node", "doc_id", "th").join(members.select("node").distinct(), "node", "left_semi")
+    whole = columns_of(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
+    texts = table(whole.join(nodes, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
     members, firsts = members.select("key", "node"), members.groupBy("node").agg(F.min("rep").alias("u"))
 
-    todo = Table(firsts.where("u < node").select("u", F.col("node").alias("v")), "pairs", small=True).df
-    links = Table(verify(todo, texts, k, percent), "links", small=True).df
+    todo = table(firsts.where("u < node").select("u", F.col("node").alias("v")), "pairs", small=True)
+    links = table(verify(todo, texts, k, percent), "links", small=True)
 
-    mixed_keys = Table(_spread(members, _hops(links)), "spread").df
+    mixed_keys = table(_spread(members, _hops(links)), "spread")
     per = mixed_keys.groupBy("key", "comp").agg(F.min("node").alias("v"))
     low = per.groupBy("key").agg(F.min(F.struct("v", "comp")).alias("low"))
     pairs = per.join(low, "key").where("comp <> low.comp").select(F.col("low.v").alias("u"), "v").distinct()
-    more = Table(pairs.join(todo, ["u", "v"], "left_anti"), "pairs", small=True).df
-    links = Table(verify(more, texts, k, percent).unionByName(links), "links", small=True).df
+    more = table(pairs.join(todo, ["u", "v"], "left_anti"), "pairs", small=True)
+    links = table(verify(more, texts, k, percent).unionByName(links), "links", small=True)
 
     comps = _hops(links)
     mixed_keys = _spread(mixed_keys.select("key", "node"), comps)
     lowest = mixed_keys.groupBy("key").agg(F.min("node").alias("u"))
     families = components(mixed_keys.join(lowest, "key").select("u", F.col("node").alias("v")))
     named = families.withColumnRenamed("component", "family").join(comps, "node", "left")
-    members = Table(named.select("node", "family", F.coalesce("component", "node").alias("comp")), "families", small=True).df
+    members = table(named.select("node", "family", F.coalesce("component", "node").alias("comp")), "families", small=True)
     comps = components(_across(members, texts, k, percent).unionByName(links))
 
-    final = klass.select("klass", "node").join(comps, "node", "left").select("klass", F.coalesce("component", "node").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "klass").join(final, "klass", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = klass.select("klass", "node", "doc_id").join(comps, "node", "left").select("klass", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    final = named.join(least, "component").select("klass", "component_id")
+    out = sig.select("doc_id", "n_shingles", "klass").join(final, "klass", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = Table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near-duplicates").df
+    for t in held:
+        t.drop()
+    return out
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
