@@ -1,11 +1,13 @@
 """Operator 3 - near-duplicate embeddings by navigable small-world graphs per shard.
 
-Vectors of one label are dealt to shards of bounded size. Each pair of shards is a
-task: a hierarchical navigable small-world graph over the one is queried by all
-vectors of the other. Beams widen until an audit against brute force passes, which
-draws queries until it has seen enough true links; a task that doesn't have them is
-scanned exactly. So are queries whose beams are full of links. Hits are confirmed by cosine in double
-precision. A task returns counts and a spanning forest of its links, never pairs.
+Vectors of one label are dealt to shards of bounded size. Each shard's hierarchical
+navigable small-world graph is built once and queried by the shard's own vectors and, a
+block at a time, by those of half of the other shards, so that each pair of shards meets
+once. Beams widen until an audit against brute force passes, which draws queries until it
+has seen enough true links; queries whose beams are full of links are scanned exactly, as
+is a block that no beam gets through its audit. Hits are confirmed by cosine in double
+precision. A task holds one shard and one block and returns counts and a spanning forest
+of its links, never pairs.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 from querykiln.llm.common import Table, _roots, columns_of, components
 
 COSINE = 0.93
-#: Distinct vectors of a shard, about; a task holds two shards.
-SHARD = 16_384
+#: Distinct vectors of a shard, about, and of a block of queries.
+SHARD, BLOCK = 16_384, 4_096
 LINKS, BEAM = 16, 48
 #: Queries an audit draws at a time, distinct true links it must have seen, and the share of them to be found.
 AUDIT, SEEN, RECALL = 256, 300, 0.99
@@ -63,38 +65,37 @@ class SmallWorld:
         return np.where(at >= 0, at, first[0])
 
     def _join(self, near: np.ndarray, new: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
-        """Link new nodes to diverse close candidates, and these back."""
+        """Link new nodes to diverse close candidates, and these back; a row that is full keeps its closest."""
         if ids.ndim == 1:
             ids = np.broadcast_to(ids, sims.shape)
-        top = min(ids.shape[1], 3 * self.links)
-        pick = np.argsort(-sims, 1, kind="stable")[:, :top]
+        pick = np.argsort(-sims, 1, kind="stable")[:, : 3 * self.links]
         ids, sims = np.take_along_axis(ids, pick, 1), np.take_along_axis(sims, pick, 1)
-        width = near.shape[1]
-        for i, c, s in zip(new.tolist(), ids, sims):
-            ok = (c >= 0) & (c != i) & (s > -2)
-            c, s = c[ok], s[ok]
-            if not len(c):
-                continue
-            between = self.x[c] @ self.x[c].T
-            chosen: list[int] = []
-            for k in range(len(c)):  # keep one that is closer to the node than to those kept
-                if not chosen or between[k, chosen].max() < s[k]:
-                    chosen.append(k)
-                if len(chosen) == self.links:
-                    break
-            spare = [k for k in range(len(c)) if k not in chosen][: self.links - len(chosen)]
-            mine = c[chosen + spare]
-            row = near[i]
-            free = np.flatnonzero(row < 0)
-            row[free[: len(mine)]] = mine[: len(free)]
-            for j in mine.tolist():
-                other = near[j]
-                gap = np.flatnonzero(other < 0)
-                if len(gap):
-                    other[gap[0]] = i
-                else:
-                    both = np.append(other, i)
-                    other[:] = np.delete(both, int((self.x[both] @ self.x[j]).argmin()))[:width]
+        ok = (ids >= 0) & (ids != new[:, None]) & (sims > -2)
+        vectors = self.x[np.maximum(ids, 0)]
+        between = vectors @ vectors.transpose(0, 2, 1)
+        chosen, nearest = np.zeros(ids.shape, bool), np.full(ids.shape, -3.0, np.float32)
+        for k in range(ids.shape[1]):  # keep one that is closer to the node than to those kept
+            take = ok[:, k] & (chosen.sum(1) < self.links) & (nearest[:, k] < sims[:, k])
+            chosen[:, k] = take
+            nearest = np.where(take[:, None], np.maximum(nearest, between[:, k, :]), nearest)
+        rank = np.argsort(np.where(chosen, 0, np.where(ok, 1, 2)), 1, kind="stable")[:, : self.links]
+        mine = np.where(np.take_along_axis(ok, rank, 1), np.take_along_axis(ids, rank, 1), -1)
+        near[new, : mine.shape[1]] = mine
+        to, back = mine.ravel(), np.repeat(new, mine.shape[1])
+        to, back = to[to >= 0], back[to >= 0]
+        order = np.argsort(to, kind="stable")
+        to, back = to[order], back[order]
+        targets, first, count = np.unique(to, return_index=True, return_counts=True)
+        for c in range(0, len(targets), 256):
+            t, f, n = targets[c : c + 256], first[c : c + 256], count[c : c + 256]
+            more = np.full((len(t), n.max()), -1, np.int64)
+            row = np.repeat(np.arange(len(t)), n)
+            more[row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = back[f[0] : f[0] + n.sum()]
+            both = np.sort(np.concatenate([near[t], more], 1), 1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            s = np.where(both >= 0, np.einsum("td,tkd->tk", self.x[t], self.x[np.maximum(both, 0)]), -2)
+            keep = np.argsort(-s, 1, kind="stable")[:, : near.shape[1]]
+            near[t] = np.take_along_axis(both, keep, 1)
 
     def _beam(self, q: np.ndarray, entry: np.ndarray, near: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Best-first search of all queries in step: (ids, similarities), best first, -1 where fewer."""
@@ -157,93 +158,175 @@ def _audit(index: np.ndarray, queries: np.ndarray, cosine: float, same: bool) ->
     return np.concatenate([none, *us]), np.concatenate([none, *vs]), False
 
 
-def links_of(index: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, indexed) with cosine of at least ``cosine``; rows are unit vectors in double precision.
+class Searcher:
+    """The graph of a shard and what its audits have seen so far."""
 
-    If ``queries`` is ``index`` itself, each vector's match with itself is no evidence of recall.
-    """
-    n, same = len(queries), queries is index
-    true_u, true_v, enough = _audit(index, queries, cosine, same)
-    if not enough:  # every query was drawn: these are all pairs
-        return true_u, true_v
-    truth, graph = _pairs(true_u, true_v, len(index), same), SmallWorld(index)
-    q32 = queries.astype(np.float32)
-    while True:
-        us, vs, full = [], [], []
-        if 2 * beam < len(index):
-            for a in range(0, n, 256):
-                ids, sims = graph.query(q32[a : a + 256], beam)
-                hit = sims >= cosine - 1e-4
-                full.append(a + np.flatnonzero(hit.sum(1) * 2 > beam))
-                u, k = np.nonzero(hit)
-                us.append(u + a)
-                vs.append(ids[u, k])
+    def __init__(self, index: np.ndarray, cosine: float, beam: int = BEAM):
+        self.index, self.cosine, self.beam = index, cosine, min(beam, len(index))
+        self.graph, self.enough = SmallWorld(index), False
+        #: Of the true links in audits: how many, and how many the graph found before any exact scan.
+        self.true, self.found = 0, 0
+
+    def links(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, indexed) with cosine of at least ``cosine``; of the index with itself if ``queries`` is it.
+
+        Each block is audited: until ``SEEN`` true links have been seen by drawn queries,
+        of this block and those before; then by one draw a block.
+        """
+        same = queries is self.index
+        if self.enough:
+            drawn = np.random.default_rng(len(queries)).permutation(len(queries))[:AUDIT]
+            u, v = np.nonzero(queries[drawn] @ self.index.T >= self.cosine)
+            true_u, true_v = drawn[u], v
         else:
-            full.append(np.arange(n))  # a beam as wide as this is a scan
-        u, v, full = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs, full))
-        good = np.array([], bool) if not len(u) else np.einsum("nd,nd->n", queries[u], index[v]) >= cosine
-        u, v = (u[good], v[good]) if len(u) else (u, v)
-        scanned = np.zeros(n, bool)
-        scanned[full] = True
-        u, v = u[~scanned[u]], v[~scanned[u]]
-        for a in range(0, len(full), 512):
-            x, y = np.nonzero(queries[full[a : a + 512]] @ index.T >= cosine)
-            u, v = np.concatenate([u, full[a : a + 512][x]]), np.concatenate([v, y])
-        found = np.isin(truth, _pairs(u, v, len(index), same)).sum()
-        if found >= RECALL * len(truth):
-            return np.concatenate([u, true_u]), np.concatenate([v, true_v])
-        beam *= 2
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+            true_u, true_v, self.enough = _audit(self.index, queries, self.cosine, same)
+        truth = _pairs(true_u, true_v, len(self.index), same)
+        while True:
+            u, v = self._searched(queries)
+            found = np.isin(truth, _pairs(u, v, len(self.index), same)).sum()
+            if found >= RECALL * len(truth):
+                break
+            if self.beam == len(self.index):  # nor does a beam that holds all
+                u, v = self._scanned(queries, np.arange(len(queries)))
+                break
+            self.beam = min(2 * self.beam, len(self.index))
+        self.true, self.found = self.true + len(truth), self.found + int(found)
+        return np.concatenate([u, true_u]), np.concatenate([v, true_v])
+
+    def _searched(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the graph finds with this beam, confirmed; queries that fill half of it are scanned."""
+        us, vs, full, q32 = [], [], [], queries.astype(np.float32)
+        for a in range(0, len(queries), 256):
+            ids, sims = self.graph.query(q32[a : a + 256], self.beam)
+            hit = (sims >= self.cosine - 1e-4) & (ids >= 0)
+            crowded = hit.sum(1) * 2 > self.beam if self.beam < len(self.index) else np.zeros(len(hit), bool)
+            full.append(a + np.flatnonzero(crowded))
+            u, k = np.nonzero(hit & ~crowded[:, None])
+            us.append(u + a)
+            vs.append(ids[u, k])
+        u, v, full = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs, full))
+        good = np.einsum("nd,nd->n", queries[u], self.index[v]) >= self.cosine
+        x, y = self._scanned(queries, full)
+        return np.concatenate([u[good], x]), np.concatenate([v[good], y])
+
+    def _scanned(self, queries: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(which), 512):
+            x, y = np.nonzero(queries[which[a : a + 512]] @ self.index.T >= self.cosine)
+            us.append(which[a : a + 512][x])
+            vs.append(y)
+        return np.concatenate(us), np.concatenate(vs)
+
+
+def links_of(index: np.ndarray, queries: np.ndarray, cosine: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, indexed) of unit vectors in double precision with cosine of at least ``cosine``."""
+    return Searcher(index, cosine, beam).links(queries)
+
+
+class _Shard:
+    """One shard as its rows come in: first its own vectors, then blocks of queries."""
+
+    def __init__(self, cosine: float, beam: int):
+        self.cosine, self.beam, self.searcher = cosine, beam, None
+        self.held: list[pd.DataFrame] = []
+
+    @staticmethod
+    def _unit(rows: pd.DataFrame) -> np.ndarray:
+        x = np.stack(rows["x"].to_numpy()).astype(np.float64)
+        x = x / np.abs(x).max(1, keepdims=True)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    def _made(self, rows: pd.DataFrame, u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        """Counts and forest of the links of ``rows`` (query places u) with the shard's (places v)."""
+        a, b = rows["node"].to_numpy()[u], self.node[v]
+        own = rows is self.rows
+        ca, cb = rows["copies"].to_numpy()[u], self.rows["copies"].to_numpy()[v]
+        swap = a > b
+        lo, hi, cl, ch = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, cb, ca), np.where(swap, ca, cb)
+        far = np.flatnonzero(lo != hi) if own else np.arange(len(lo))
+        _, one = np.unique(np.column_stack([lo[far], hi[far]]), axis=0, return_index=True)
+        at = far[one]
+        if not len(at):
+            return pd.DataFrame({"node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
+        node, inverse = np.unique(np.concatenate([lo[at], hi[at]]), return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([ch[at], cl[at]])).astype(np.int64)
+        who, root = _roots(lo[at], hi[at])
+        return pd.DataFrame({"node": node, "n": n, "root": root[np.searchsorted(who, node)]})
+
+    def index(self) -> pd.DataFrame:
+        self.rows = pd.concat(self.held, ignore_index=True)
+        self.node, self.held = self.rows["node"].to_numpy(), []
+        x = self._unit(self.rows)
+        self.searcher = Searcher(x, self.cosine, self.beam)
+        return self._made(self.rows, *self.searcher.links(x))
+
+    def block(self) -> pd.DataFrame:
+        rows, self.held = pd.concat(self.held, ignore_index=True), []
+        return self._made(rows, *self.searcher.links(self._unit(rows)))
+
+
+def _search(cosine: float, beam: int):
+    """Over rows sorted by shard, a shard's own vectors first: links of each shard, graphs built once."""
+
+    def run(frames):
+        key, shard = None, None
+
+        def rest(shard):
+            if shard is not None and shard.held:
+                yield shard.index() if shard.searcher is None else shard.block()
+
+        for pdf in frames:
+            for (label, d, at, guest), part in pdf.groupby(["label", "d", "at", "guest"], sort=True):
+                if (label, d, at) != key:
+                    yield from rest(shard)
+                    key, shard = (label, d, at), _Shard(cosine, beam)
+                if guest and shard.searcher is None:
+                    yield shard.index()
+                for a in range(0, len(part), BLOCK):
+                    shard.held.append(part.iloc[a : a + BLOCK])
+                    if guest and sum(map(len, shard.held)) >= BLOCK:
+                        yield shard.block()
+        yield from rest(shard)
+
+    return run
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector.
 
     Vectors link when their labels are equal and not null, they have as many
     components, and their cosine in double precision is at least ``cosine``. Null,
     empty and zero vectors and those with null or non-finite components link with
-    nothing. Equal vectors are one node, counted as often as they occur. Repeated rows
-    each get a row. Extra columns are ignored; an empty table gives no rows.
+    nothing. Equal vectors are one node, counted as often as they occur; vectors that
+    share a vec_id go by their own value. Repeated rows each get a row. Extra columns
+    are ignored; an empty table gives no rows.
     """
     rows = columns_of(vectors, "vec_id", "embedding", "label")
     rows = rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"), F.xxhash64("label", "embedding").alias("h1"), F.xxhash64(F.lit(3), "embedding", "label").alias("h2"))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
-    nodes = Table(rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"), F.size(F.first("x")).alias("d")), "vectors").df
-    many = nodes.groupBy("label", "d").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = nodes.join(many, ["label", "d"]).withColumn("own", F.pmod(F.xxhash64("node"), "shards").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        x = np.stack(pdf["x"].to_numpy())
-        x = x / np.abs(x).max(1, keepdims=True)
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
-        node, copies, own = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
-        a = np.flatnonzero(own == key[2])
-        b = np.flatnonzero(own == key[3])
-        count = np.zeros(len(node), np.int64)
-        if len(a) and len(b):
-            left = x[a]
-            u, v = links_of(left, left if key[2] == key[3] else x[b], cosine)
-            u, v = b[u], a[v]
-            lo, hi = np.minimum(u, v), np.maximum(u, v)
-            pair = np.unique(np.column_stack([lo, hi])[lo != hi], axis=0)
-            lo, hi = pair[:, 0], pair[:, 1]
-            np.add.at(count, lo, copies[hi])
-            np.add.at(count, hi, copies[lo])
-            root = node.copy()
-            if len(lo):
-                who, to = _roots(node[lo], node[hi])
-                root[np.searchsorted(node, who)] = to
-            return pd.DataFrame({"node": node, "n": count, "root": root})[count > 0]
-        return pd.DataFrame({"node": node[:0], "n": count[:0], "root": node[:0]})
-
-    found = Table(dealt.select("label", "d", "i", "j", "node", "copies", "own", "x").groupBy("label", "d", "i", "j").applyInPandas(run, "node long, n long, root long"), "links", small=True).df
-    comps = components(found.select(F.col("root").alias("u"), F.col("node").alias("v")))
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    known = nodes.select("h1", "h2", "node", "copies").join(counts, "node", "left").join(comps, "node", "left").select("h1", "h2", F.lit(True).alias("ok"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    distinct = rows.where("ok").groupBy("h1", "h2").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"), F.size(F.first("x")).alias("d"))
+    nodes = Table(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    many = nodes.df.groupBy("label", "d").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    dealt = nodes.df.select("label", "d", "node", "copies", "x").join(many, ["label", "d"]).withColumn("own", F.pmod(F.xxhash64("node"), "shards").cast("int"))
+    # of two shards the one that is less far ahead, round the ring, is the index: each has half of the others as guests
+    ahead = F.pmod(F.col("own") - F.col("at"), F.col("shards"))
+    meets = (ahead == 0) | (2 * ahead < F.col("shards")) | (2 * ahead == F.col("shards")) & (F.col("at") < F.col("own"))
+    dealt = dealt.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where(meets)
+    dealt = dealt.select("label", "d", "at", (F.col("own") != F.col("at")).alias("guest"), "node", "copies", "x")
+    by = ["label", "d", "at"]
+    sorted_ = dealt.repartition(*by).sortWithinPartitions(*by, "guest", "node")
+    found = Table(sorted_.mapInPandas(_search(cosine, beam), "node long, n long, root long"), "links", small=False)
+    comps = components(found.df.select(F.col("root").alias("u"), F.col("node").alias("v")))
+    counts = found.df.groupBy("node").agg(F.sum("n").alias("n"))
+    known = nodes.df.select("h1", "h2", "node", "copies", "first_id").join(counts, "node", "left").join(comps, "node", "left").select("h1", "h2", "copies", "n", "first_id", F.coalesce("component", "node").alias("component"))
+    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = known.join(least, "component").select("h1", "h2", F.lit(True).alias("ok"), (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     out = rows.select("vec_id", "h1", "h2", "ok").join(known, ["h1", "h2", "ok"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = Table(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "neighbors").df
+    nodes.drop()
+    found.drop()
+    return out
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
