@@ -20,6 +20,8 @@ from querykiln.llm.common import columns_of
 
 #: Texts that the field is trained on, at most (by hash of doc_id).
 SAMPLE = 1_500
+#: Lines of a training chain; longer texts make several, so that all lines are trained on.
+CHAIN = 60
 #: Words in content lines, of all words, that a text needs.
 CONTENT = 0.5
 MIN_WORDS, REPEATS = 50, 50
@@ -31,6 +33,7 @@ _ALPHA = np.zeros(256, bool)
 _ALPHA[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+#: Lines of which at least one word in 25 opens one of these are notices.
 _NOTICE = (b"licen", b"rights reserved", b"copyright", b"cookie", b"subscribe", b"click here", b"privacy policy", b"terms of")
 FEATURES = ("bias", "short", "long", "symbols", "many_symbols", "bars", "shouts", "upper", "repeats", "many_repeats", "digits", "plain", "ends", "notice", "seen", "first")
 FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
@@ -71,9 +74,8 @@ class Lines:
                 line = raw[a : b - 1]
                 dup[i] = line in seen
                 seen.add(line)
-                if k <= 40:
-                    low = line.lower()
-                    notice[i] = any(x in low for x in _NOTICE)
+                low = line.lower()
+                notice[i] = 25 * sum(map(low.count, _NOTICE)) >= k
         self.n_dup_lines = np.bincount(self.text[dup], minlength=n)
         line = lambda mask: (c := at(mask))[end] - c[start]
         k, size = np.maximum(self.words, 1), np.maximum(end - start - 1, 1)
@@ -198,7 +200,7 @@ def train(chains: list, rounds: int = 70, rate: float = 0.15, ridge: float = 1e-
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` texts; their lines are labelled by labelling functions, no labels are read."""
+    """A field from at most ``sample`` whole texts; their lines are labelled by labelling functions, no labels are read."""
     named = columns_of(docs, "doc_id", "text").where("text is not null").withColumn("h", F.xxhash64("text"))
     ids = named.select("doc_id", "h").orderBy(F.xxhash64(F.coalesce("doc_id", "h")), "doc_id", "h").limit(sample).collect()  # at most ``sample``
     chosen = docs.sparkSession.createDataFrame(sorted({tuple(r) for r in ids}, key=repr), "id long, th long")
@@ -209,7 +211,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
         lines = Lines(texts[a:b])
         y = lines.silver()
         cut = np.searchsorted(lines.text, np.arange(b - a + 1))
-        chains += [(lines.x[i : min(j, i + 60)], y[i : min(j, i + 60)]) for i, j in zip(cut[:-1], cut[1:])]
+        chains += [(lines.x[k : min(j, k + CHAIN)], y[k : min(j, k + CHAIN)]) for i, j in zip(cut[:-1], cut[1:]) for k in range(i, j, CHAIN)]
     return train(chains)
 
 
