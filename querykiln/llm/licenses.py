@@ -3,12 +3,16 @@
 A text and a license template are aligned by words: words unique to both are
 anchors, the longest increasing run of them stays, and the gaps between are
 aligned again in the same way. Coverage is the share of the template's words that
-are aligned. Every region of a text that could hold a template is aligned.
+are aligned. A text is aligned wherever a run of a template's key words, words of which
+any notice must hold most, could be a notice, however far the words between stretch it
+(up to a template's length at one place); what is left on either side is tried again.
+A template's telling words (its name, version or clause) must be among those aligned.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 import re
 from collections import Counter
 
@@ -37,7 +41,32 @@ TEMPLATES = {
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0 sentence": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "All rights reserved": "All rights reserved.",
+    "GPL-2.0 notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1 notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0 notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "MIT disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD line": "Released under the BSD License.",
+    "BSD-3 endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0 line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-ND-4.0 line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-SA-4.0 sentence": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0 sentence": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "Boost-1.0 line": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL-2.0 line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
 }
+# Words of a template that tell it from its kin, longest templates that have none aside.
+TELLING = {
+    "Apache-2.0 line": "apache 2.0", "Apache-2.0 header": "apache", "MIT line": "mit", "BSD line": "bsd", "GPL-2.0 notice": "2 general", "GPL-3.0 line": "general 3",
+    "GPL-3.0 notice": "3 general", "LGPL-2.1 notice": "lesser 2.1", "LGPL-3.0 notice": "lesser 3", "AGPL-3.0 notice": "affero 3", "MPL-2.0 notice": "mozilla",
+    "CC-BY-4.0 line": "cc by 4.0", "CC-BY-SA-4.0 line": "cc by-sa 4.0", "CC-BY-NC-4.0 line": "cc by-nc 4.0", "CC-BY-ND-4.0 line": "cc by-nd 4.0", "CC-BY-NC-SA-4.0 line": "cc by-nc-sa 4.0",
+    "CC-BY-NC-ND-4.0 line": "cc by-nc-nd 4.0", "CC-BY-4.0 sentence": "attribution 4.0", "CC-BY-SA-4.0 sentence": "attribution-sharealike 4.0", "CC-BY-NC-4.0 sentence": "attribution-noncommercial 4.0",
+    "Boost-1.0 line": "boost", "EPL-2.0 line": "eclipse 2.0", "All rights reserved": "all rights reserved",
+}
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -113,49 +142,75 @@ def _common(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> l
     return out
 
 
-def keys_of(template: list[str], coverage: float) -> set[str]:
-    """Words of which any text that covers the template must hold one: without them less than ``coverage`` is left."""
-    n, out, left = Counter(template), set(), len(template)
+def keys_of(template: list[str], coverage: float) -> tuple[set[str], int]:
+    """The template's longest words, more of its places than a covering text may lack, and how many of the places it must hold."""
+    n, out, held = Counter(template), set(), 0
+    lack = len(template) - math.ceil(coverage * len(template) - 1e-9)
     for w in sorted(n, key=lambda w: (-len(w), w)):
-        if left < coverage * len(template):
+        if held > 2 * lack:
             break
         out.add(w)
-        left -= n[w]
-    return out
+        held += n[w]
+    return out, held - lack
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
+    def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE, telling: dict[str, str] | None = None):
         self.coverage = coverage
         self.templates = {k: [w for w, _, _ in words_of(t)] for k, t in (templates or TEMPLATES).items()}
         self.keys = {k: keys_of(t, coverage) for k, t in self.templates.items()}
-        self.gate = set().union(*self.keys.values())
+        self.telling = {k: set((telling or TELLING).get(k, "").split()) for k in self.templates}
+        self.gate = set().union(*(k for k, _ in self.keys.values()))
 
-    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, start, end) of the notices found, none overlapping a better one.
+    def _runs(self, name: str, plain: list[str], at: list[int]):
+        """(first, end) of word places around runs of the key words at ``at`` that may hold the template.
 
-        Windows of twice a template's length, a length apart, around its key words
-        hold every notice that isn't stretched beyond a length; each is aligned.
+        A run ends where more than two template lengths of words have no key word, and
+        where enough of the template has been seen and one of its words comes again
+        more often than the template has it: there another copy begins.
         """
+        n, (_, need), most = len(self.templates[name]), self.keys[name], Counter(self.templates[name])
+        run: list[int] = []
+        seen: Counter = Counter()
+        for i in [*at, None]:
+            ends = i is None or run and (i - run[-1] > 2 * n or sum(seen.values()) >= need and seen[plain[i]] == most[plain[i]])
+            if ends:
+                if sum((seen & most).values()) >= need:
+                    yield max(0, run[0] - 2 * n), min(len(plain), run[-1] + 2 * n + 1)
+                run, seen = [], Counter()
+            if i is not None:
+                run.append(i)
+                seen[plain[i]] += 1
+
+    def _found(self, name: str, plain: list[str]):
+        """(coverage, first, last) of the notices of one template, left to right."""
+        t, (keys, _) = self.templates[name], self.keys[name]
+        n, have = len(t), Counter(t)
+        at = [i for i, w in enumerate(plain) if w in keys]
+        todo = list(self._runs(name, plain, at))
+        done = set()
+        while todo:
+            a, b = todo.pop()
+            window = plain[a:b]
+            if (a, b) in done or sum((Counter(window) & have).values()) < self.coverage * n:
+                continue
+            done.add((a, b))
+            where = align(t, window)
+            if len(where) < self.coverage * n or not self.telling[name] <= {t[i] for i, _ in where}:
+                continue
+            first, last = a + where[0][1], a + where[-1][1]
+            yield len(where) / n, first, last
+            todo += [(a, first), (last + 1, b)]
+
+    def scan(self, text: str) -> list[tuple[str, float, int, int]]:
+        """(license, coverage, start, end) of the notices found, none overlapping a better one."""
         found = words_of(text)
         plain = [w for w, _, _ in found]
         have = set(plain)
         hits = []
         for name, t in self.templates.items():
-            n = len(t)
-            if not self.keys[name] & have or sum(w in have for w in t) < self.coverage * n:
-                continue
-            need = set(t)
-            at = [i for i, w in enumerate(plain) if w in self.keys[name]]
-            starts = sorted({max(0, k * n) for i in at for k in range((i - 2 * n) // n + 1, i // n + 1)})
-            for s in starts:
-                window = plain[s : s + 2 * n]
-                if sum((Counter(window) & Counter(t)).values()) < self.coverage * n or not need & set(window):
-                    continue
-                where = align(t, window)
-                got = len(where) / n
-                if got >= self.coverage:
-                    hits.append((got, n, name, found[s + where[0][1]][1], found[s + where[-1][1]][2]))
+            if self.telling[name] <= have and sum(w in have for w in t) >= self.coverage * len(t):
+                hits += [(got, len(t), name, found[i][1], found[j][2]) for got, i, j in self._found(name, plain)]
         out: list = []
         for got, n, name, a, b in sorted(hits, key=lambda h: (-h[0], -h[1], h[3], h[4] - h[3], h[2])):
             if all(b <= x[2] or a >= x[3] for x in out):
@@ -168,7 +223,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
 
     Of overlapping notices the better covered stays, then the longer template. Null
     and empty texts have none; repeated rows give repeated matches; null ids pass
-    through; extra columns are ignored. Texts without any key word of any template
+    through; extra columns are ignored; an empty table gives no rows. Texts without any key word of any template
     are set aside by a JVM-side filter that no match can fail.
     """
     held = docs.sparkSession.sparkContext.broadcast(Scanner(templates, coverage))
