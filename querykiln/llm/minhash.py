@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, h
     members = table(keyed.join(shared, "key"), "members")
     nodes = klass.select("node", "doc_id", "th").join(members.select("node").distinct(), "node", "left_semi")
     whole = columns_of(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
-    texts = table(whole.join(nodes, ["doc_id", "th"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = table(whole.join(nodes, ["doc_id", "th"]).groupBy("doc_id", "th", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
     members, firsts = members.select("key", "node"), members.groupBy("node").agg(F.min("rep").alias("u"))
 
     todo = table(firsts.where("u < node").select("u", F.col("node").alias("v")), "pairs", small=True)
