@@ -22,7 +22,7 @@ def parse_output(x) -> Column:
     between the first { and the last }; a list counts, or the first list under KEYS.
     """
     t = strip_ws(x)
-    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)
     t = F.when(fenced != "", strip_ws(fenced)).otherwise(t)
 
     def lists(v: Column) -> Column:

@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-# ASCII punctuation, stop words and query openers.
+# ASCII punctuation, the stop words of topics, of retrieval and of labels, and query openers.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-STOP_COMMON = "a an and are as at be but by for from in into is it of on or that the this to was were with".split()
-STOP_TOPIC = STOP_COMMON + "about been being between during its through".split()
-STOP_BM25 = STOP_COMMON + "been did do does had has have if no not over so under we".split()
-STOP_LABEL = STOP_COMMON + "calculate can compute could determine do document does find how if its no not over query result they through under using we what when where which why would you".split()
+STOP_TOPIC = "a an the of in on at to for and or but with by from as is are be been being was were that this it its about between into through during".split()
+STOP_BM25 = "the a an and or but if for from with into over under of in on at to by as that this is are was were be been have has had do does did not no so we it".split()
+STOP_LABEL = "the a an and or but if for from with into over under through using find determine compute calculate what which when where why how does do can could would is are was were be of in on at to by as that this it its not no we you they document query result".split()
 OPENERS = "what which when where why how who is are was were do does did can could would find determine compute calculate evaluate identify prove show given suppose let".split()
 #: Digits as Python's isdigit has them: decimal digits and super- and subscripts.
 DIGITS = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$"

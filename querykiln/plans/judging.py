@@ -239,7 +239,7 @@ def kg_fallback(spark, d):
 
 
 FALLBACK_SQL = f"""
-WITH {GRAPH}, t AS (SELECT p_partkey AS row_uid, p_size % 4 AS m, p_name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_name || ' of ' || p_brand WHEN 2 THEN p_type || ' goods' ELSE 'NATION_' || (p_partkey % 10) END AS topic FROM part WHERE p_partkey < 400),
+WITH {GRAPH}, t AS (SELECT p_partkey AS row_uid, p_size % 4 AS m, p_name, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN p_name || ' of ' || p_brand WHEN 2 THEN p_type || ' goods' ELSE 'NATION_' || (p_partkey % 10) END AS topic FROM part),
 f AS (SELECT *, CASE m WHEN 1 THEN 'W' || p_name WHEN 3 THEN 'N' || (row_uid % 10) END AS found FROM t)
 SELECT row_uid, topic, CASE WHEN m = 0 THEN 'no_topic' WHEN found IS NULL THEN 'no_candidate' WHEN NOT stat.ok THEN 'seed_missing' WHEN num_edges < 1 THEN 'too_few_edges' ELSE 'ok' END AS status,
  CASE WHEN stat.ok AND num_edges >= 1 THEN found END AS seed, coalesce(m = 1 AND stat.ok AND num_edges >= 1, false) AS refined,
@@ -254,8 +254,8 @@ def neighbor_relations(spark, d):
     return G.relations(node, G.edges(seed, near, node, claim))
 
 
-RELATION_SQL = f"""WITH {GRAPH} SELECT o.seed, o.dst AS qid, label, CASE o.prop WHEN 'P361' THEN 'is part of' WHEN 'P527' THEN 'has part' WHEN 'P31' THEN 'is an instance of' END AS relation, '→' AS arrow
- FROM outgoing o JOIN entity e ON e.qid = o.dst WHERE regexp_matches(o.seed, '^[RNW]')"""
+RELATION_SQL = f"""WITH {GRAPH} SELECT o.seed, o.dst AS qid, label, CASE o.prop WHEN 'P361' THEN 'is part of' WHEN 'P527' THEN 'has part' WHEN 'P31' THEN 'is an instance of' WHEN 'P1269' THEN 'is a facet of' END AS relation, '→' AS arrow
+ FROM outgoing o JOIN entity e ON e.qid = o.dst"""
 
 
 def neighbor_sample(spark, d):
@@ -314,8 +314,8 @@ ORACLE = {
     "mining_bridge": BRIDGE_SQL,
     "resume_anti": RESUME_SQL,
     "kg_seed": f"WITH {GRAPH}, t AS (SELECT DISTINCT ' ' || upper(s_name) AS text FROM supplier UNION SELECT DISTINCT p_name FROM part) SELECT text, qid FROM t JOIN entity ON lower(label) = lower(trim(text))",
-    "kg_outgoing": f"WITH {GRAPH} SELECT src AS seed, prop, dst, row_number() OVER (PARTITION BY src ORDER BY CASE prop WHEN 'P31' THEN 0 WHEN 'P361' THEN 2 WHEN 'P527' THEN 3 ELSE 4 END, o, dst) AS pair_ord FROM claim WHERE regexp_matches(src, '^[RNW]')",
-    "kg_incoming": f"WITH {GRAPH} SELECT seed, src, prop, dst, direction FROM edges WHERE regexp_matches(seed, '^[RNW]') AND seed IN (SELECT qid FROM entity)",
+    "kg_outgoing": f"WITH {GRAPH} SELECT src AS seed, prop, dst, row_number() OVER (PARTITION BY src ORDER BY CASE prop WHEN 'P31' THEN 0 WHEN 'P361' THEN 2 WHEN 'P527' THEN 3 ELSE 4 END, o, dst) AS pair_ord FROM claim",
+    "kg_incoming": f"WITH {GRAPH} SELECT seed, src, prop, dst, direction FROM edges WHERE seed IN (SELECT qid FROM entity)",
     "kg_fallback": FALLBACK_SQL,
     "neighbor_relations": RELATION_SQL,
     "select_edges": EDGE_SQL,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from querykiln.functions import text as T
 from querykiln.operators import bm25
-from querykiln.plans.sqltext import alnum, compact, lower_ws, tok_bm25, tok_topic, ws
+from querykiln.plans.sqltext import OPENERS, STOP_TOPIC, alnum, compact, lower_ws, tok_bm25, tok_topic, ws
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -106,10 +106,9 @@ def split_candidates(spark, d):
     return b.select("item_id", "topic", F.array_join(T.split_candidates("topic"), "|").alias("candidates"))
 
 
-_STOP_A = ", ".join(f"'{w}'" for w in T.STOP_TOPIC)
 SPLIT_SQL = f"""
-WITH b AS (SELECT item_id, array_to_string(string_split({ws('text')}, ' ')[1:8], ' ') AS topic FROM benchmark),
-c AS (SELECT item_id, topic, list_filter({tok_topic('topic')}, lambda t: NOT list_contains([{_STOP_A}], t)) AS c FROM b),
+WITH b AS (SELECT item_id, {ws('text')} AS topic FROM benchmark),
+c AS (SELECT item_id, topic, list_filter({tok_topic('topic')}, lambda t: NOT list_contains({STOP_TOPIC}, t)) AS c FROM b),
 g AS (SELECT *, list_concat(list_filter([CASE WHEN len(c) >= 2 THEN array_to_string(c[1:2], ' ') END, CASE WHEN len(c) >= 3 THEN array_to_string(c[1:3], ' ') END, CASE WHEN len(c) >= 4 THEN array_to_string(c[1:4], ' ') END], lambda x: x IS NOT NULL),
   list_transform(range(1, len(c)), lambda i: c[i] || ' ' || c[i + 1])) AS raw FROM c),
 u AS (SELECT item_id, topic, c, list_filter(list_transform(range(1, len(raw) + 1), lambda i: struct_pack(i := i, t := raw[i])), lambda x: list_position(raw, x.t) = x.i) AS raw FROM g)
@@ -127,7 +126,7 @@ CLEAN_SQL = f"""
 WITH m AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN question WHEN p_size % 3 = 1 THEN 'Find the ' || p_name || ' of the ' || p_type || ' range.' ELSE p_name || ' and ' || p_type || ' are here' END AS q FROM {_PARTS}),
 a AS (SELECT p_partkey, q AS raw, regexp_replace({ws('q')}, '^(query|question|answer)\\s*:\\s*', '', 'i') AS q FROM m),
 b AS (SELECT p_partkey, raw, CASE WHEN contains(q, '?') THEN trim(split_part(q, '?', 1)) || '?' ELSE q END AS q FROM a)
-SELECT p_partkey, CASE WHEN len(string_split(q, ' ')) < 5 THEN NULL WHEN q LIKE '%?' THEN q WHEN regexp_matches(q, '(?i)^({'|'.join(T.OPENERS)})\\b') THEN rtrim(q, '.,;:') || '?' END AS clean,
+SELECT p_partkey, CASE WHEN len(string_split(q, ' ')) < 5 THEN NULL WHEN q LIKE '%?' THEN q WHEN regexp_matches(q, '(?i)^({OPENERS})\\b') THEN rtrim(q, '.,;:') || '?' END AS clean,
   {ws("regexp_replace(regexp_replace(lower(raw), '\\b[0-9]+[.]?[0-9]*\\b', 'NUM', 'g'), '\\b[a-z]{1,2}\\b', 'V', 'g')")} AS shape FROM b
 """
 
@@ -202,7 +201,7 @@ def hard_negatives(spark, d):
     return _ranked(bm25.hard_negatives(bm25.Index(corpus(spark, d)), docs, top=50, n_neg=12))
 
 
-_NQ = f"SELECT doc_id AS qid, array_to_string(string_split({ws('text')}, ' ')[1:12], ' ') AS query, text AS pos FROM documents WHERE doc_id % 10 = 3 AND trim({ws('text')}) <> ''"
+_NQ = f"SELECT doc_id AS qid, array_to_string(string_split({ws('text')}, ' ')[1:12], ' ') AS query, text AS pos FROM documents WHERE trim({ws('text')}) <> ''"
 NEG_SQL = f"""WITH {CORPUS}, {POSTINGS}, {_scored(_NQ, 50000)}, r AS ({_RANK}),
 own AS (SELECT q.qid, c.doc_idx AS own_idx FROM q LEFT JOIN corpus c ON c.key = {ws('q.pos')}[:500]),
 f AS (SELECT r.*, row_number() OVER (PARTITION BY r.qid ORDER BY rank) AS k FROM r JOIN own USING (qid) WHERE rank <= 50 AND doc_idx IS DISTINCT FROM own_idx AND score >= 0)

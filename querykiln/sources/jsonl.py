@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from querykiln.functions.text import strip_ws
@@ -10,23 +11,45 @@ from querykiln.functions.text import strip_ws
 POSITIVE_KEYS = ("positive_passages", "positive passages", "positives", "positive")
 
 
+_FILE = ("_path", "_block", "_place")
+
+
+def placed(read: DataFrame) -> DataFrame:
+    """``read`` of files with where each row stands: its file, its split's start and a number that grows within the split."""
+    return read.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``placed`` rows with row_ord: dense from 0 in the order of files and lines, however they are split.
+
+    Rows are counted per split, so no task ranks more than one split or the list of splits.
+    """
+    sizes = rows.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_path", "_block").rowsBetween(W.unboundedPreceding, -1))  # one row a split
+    starts = sizes.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    rank = F.row_number().over(W.partitionBy("_path", "_block").orderBy("_place"))
+    ranked = rows.withColumn("_rank", rank).join(starts, ["_path", "_block"])
+    return ranked.withColumn("row_ord", (F.col("_before") + F.col("_rank") - 1).cast("long")).drop(*_FILE, "_rank", "_before")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_ord, line): lines in order. row_ord grows by file and place; it is dense only within a partition."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("row_ord"), F.col("value").alias("line"))
+    """(row_ord, line): lines in order, row_ord dense from 0."""
+    return numbered(placed(spark.read.text(path))).select("row_ord", F.col("value").alias("line"))
 
 
 def read_jsonl(spark: SparkSession, path: str, mode: str = "lenient") -> DataFrame:
-    """(row_ord, v variant) of the objects and other values of a file.
+    """(row_ord, v variant) of the objects and other values of a file; row_ord counts lines that aren't blank.
 
     lenient: blank and unreadable lines are dropped. strict: blank lines are dropped,
     unreadable ones raise. exact: blank lines raise too. Undecodable bytes are replaced.
     """
-    lines = read_lines(spark, path)
+    lines = placed(spark.read.text(path)).withColumnRenamed("value", "line")
     blank = strip_ws("line") == ""
+    lines = numbered(lines if mode == "exact" else lines.where(~blank))
     if mode == "lenient":
-        got = lines.where(~blank).withColumn("v", F.try_parse_json("line")).where("v is not null")
+        got = lines.withColumn("v", F.try_parse_json("line")).where("v is not null")
     elif mode in ("strict", "exact"):
-        got = (lines if mode == "exact" else lines.where(~blank)).withColumn("v", F.parse_json(F.when(blank, F.lit("blank line")).otherwise(F.col("line"))))
+        got = lines.withColumn("v", F.parse_json(F.when(blank, F.lit("blank line")).otherwise(F.col("line"))))
     else:
         raise ValueError(f"mode {mode!r}: lenient, strict or exact")
     return got.select("row_ord", "v")
@@ -38,16 +61,16 @@ def head(df: DataFrame, n: int | None, order: str = "row_ord") -> DataFrame:
 
 
 def first_positive(v: str = "v") -> Column:
-    """Text of the first positive: of the first key present, a list's first element, a dict's text, a pair's second, a string itself."""
+    """Text of the first positive: of the first key present, a list's first element, a dict's text, a pair's second, a string itself.
+
+    A first key that yields no text gives null, whatever later keys hold.
+    """
     def text(x: Column) -> Column:
         kind = F.schema_of_variant(x)
         return F.when(kind.startswith("OBJECT"), F.try_variant_get(x, "$.text", "string")).when(kind.startswith("ARRAY"), F.try_variant_get(x, "$[1]", "string")).when(kind == "STRING", F.try_variant_get(x, "$", "string"))
 
-    def one(key: str) -> Column:
-        x = F.try_variant_get(F.col(v), f"$['{key}']", "variant")
-        return F.when(F.schema_of_variant(x).startswith("ARRAY"), text(F.try_variant_get(x, "$[0]", "variant"))).otherwise(text(x))
-
-    return F.coalesce(*map(one, POSITIVE_KEYS))
+    x = F.coalesce(*(F.try_variant_get(F.col(v), f"$['{key}']", "variant") for key in POSITIVE_KEYS))
+    return F.when(F.schema_of_variant(x).startswith("ARRAY"), text(F.try_variant_get(x, "$[0]", "variant"))).otherwise(text(x))
 
 
 def records(df: DataFrame, source: str = "math") -> DataFrame:
@@ -62,7 +85,7 @@ def records(df: DataFrame, source: str = "math") -> DataFrame:
 
 
 def with_uid(df: DataFrame) -> DataFrame:
-    """_row_uid: the row's own, or row_<n> by its place among non-blank rows (n from 1, row_ord dense)."""
+    """_row_uid: the row's own, or row_<n> by its place among non-blank rows (n from 1; row_ord as ``numbered`` makes it)."""
     return df.withColumn("_row_uid", F.coalesce(F.nullif(F.col("_row_uid"), F.lit("")) if "_row_uid" in df.columns else F.lit(None), F.concat(F.lit("row_"), (F.col("row_ord") + 1).cast("string"))))
 
 
