@@ -123,8 +123,8 @@ def relations(node: DataFrame, edge: DataFrame) -> DataFrame:
 
 
 def sample_neighbours(rel: DataFrame, k: int = 2, seed: int = 0) -> DataFrame:
-    """``k`` neighbours of each seed, picked by a hash of the ids: the same ones in every run and order."""
-    w = W.partitionBy("seed").orderBy(F.xxhash64(F.lit(seed), "seed", "qid"), "qid")
+    """``k`` neighbours of each seed, picked by a hash (md5) of the ids: the same ones in every run, order and engine."""
+    w = W.partitionBy("seed").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "seed", "qid")), "qid")
     return rel.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 

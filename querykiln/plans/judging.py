@@ -318,5 +318,6 @@ ORACLE = {
     "kg_incoming": f"WITH {GRAPH} SELECT seed, src, prop, dst, direction FROM edges WHERE seed IN (SELECT qid FROM entity)",
     "kg_fallback": FALLBACK_SQL,
     "neighbor_relations": RELATION_SQL,
+    "neighbor_sample": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5('7|' || seed || '|' || qid), qid) AS r FROM ({RELATION_SQL})) WHERE r <= 2",
     "select_edges": EDGE_SQL,
 }

@@ -53,6 +53,7 @@ def test_relations_of_all_entities(spark):
                 facets.append((f"{c.upper()}{k}", f"N{n}", names[n], "is a facet of", "→"))
     assert [r for r in got if r[0][0] in "SC"] == sorted(facets, key=repr)
     sample = rows_of(spark, "neighbor_sample")
+    assert sample == by_sql(ORACLE["neighbor_sample"])
     assert set(sample) <= set(got) and {r[0] for r in sample} == {r[0] for r in got}
     per = [sum(r[0] == s for r in sample) for s in {"R0", "N0", facets[0][0]}]
     assert max(per) <= 2
