@@ -56,15 +56,24 @@ def normalize_compact(x) -> Column:
     return F.regexp_replace(F.lower(_nn(x)), "[^a-z0-9]", "")
 
 
+def split_topic(x) -> Column:
+    """Lower-case, punctuation deleted, split at white space; blanks at the ends stay."""
+    return F.split(F.translate(F.lower(_nn(x)), PUNCTUATION, ""), WS)
+
+
+def is_term_bm25(t) -> Column:
+    """Whether a word of ``split_topic`` is a term: no stop word, number, single character, blank or null."""
+    return (F.length(_c(t)) >= 2) & ~_c(t).isin(STOP_BM25) & ~_c(t).rlike(DIGITS)
+
+
 def tokens_topic(x) -> Column:
     """Lower-case, punctuation deleted, split at white space; duplicates stay."""
-    return F.filter(F.split(F.translate(F.lower(_nn(x)), PUNCTUATION, ""), WS), lambda t: t != "")
+    return F.filter(split_topic(x), lambda t: t != "")
 
 
 def tokens_bm25(x) -> Column:
     """As ``tokens_topic`` without stop words, numbers and single characters."""
-    stop = F.array(*map(F.lit, STOP_BM25))
-    return F.filter(tokens_topic(x), lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t) & ~t.rlike(DIGITS))
+    return F.filter(split_topic(x), is_term_bm25)
 
 
 def tokens_alnum(x) -> Column:

@@ -197,11 +197,12 @@ def _topk_sql(cap):
 
 
 def hard_negatives(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(F.split(T.normalize_ws("text"), " "), 1, 12), " ").alias("query"), F.col("text").alias("pos"))
+    """The stated query set: whole texts of documents with an id divisible by 20, against all documents."""
+    docs = _t(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("text").alias("query"), F.col("text").alias("pos"))
     return _ranked(bm25.hard_negatives(bm25.Index(corpus(spark, d)), docs, top=50, n_neg=12))
 
 
-_NQ = f"SELECT doc_id AS qid, array_to_string(string_split({ws('text')}, ' ')[1:12], ' ') AS query, text AS pos FROM documents WHERE trim({ws('text')}) <> ''"
+_NQ = f"SELECT doc_id AS qid, text AS query, text AS pos FROM documents WHERE doc_id % 20 = 0 AND trim({ws('text')}) <> ''"
 NEG_SQL = f"""WITH {CORPUS}, {POSTINGS}, {_scored(_NQ, 50000)}, r AS ({_RANK}),
 own AS (SELECT q.qid, c.doc_idx AS own_idx FROM q LEFT JOIN corpus c ON c.key = {ws('q.pos')}[:500]),
 f AS (SELECT r.*, row_number() OVER (PARTITION BY r.qid ORDER BY rank) AS k FROM r JOIN own USING (qid) WHERE rank <= 50 AND doc_idx IS DISTINCT FROM own_idx AND score >= 0)

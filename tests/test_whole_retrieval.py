@@ -1,9 +1,10 @@
-"""Queries on retrieval cover all rows, and so does their SQL."""
+"""Queries on retrieval cover all rows (mining: the stated query set) and whole texts, and so does their SQL."""
 
 import duckdb
 from pyspark.sql import functions as F
 
 from querykiln.functions.text import STOP_TOPIC, tokens_topic
+from querykiln.operators import bm25
 from querykiln.plans import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,11 +21,21 @@ def rounded(rows):
     return {(q, d, r): round(s, 5) for q, d, s, r in rows}
 
 
-def test_every_document_gets_negatives(spark):
+def test_queries_by_whole_texts_get_negatives(spark):
     got = rounded(map(tuple, QUERIES["hard_negatives"](spark, SF).collect()))
     want = rounded(by_sql(ORACLE["hard_negatives"], "documents"))
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
-    assert len({q % 10 for q, _, _ in got}) == 10
+    asked = {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 20 = 0 and trim(text) <> ''").select("doc_id").collect()}
+    assert {q for q, _, _ in got} == asked
+
+
+def test_index_reads_its_corpus_once(spark):
+    texts = spark.createDataFrame([(i, f"red apples and {i} green pears{i}") for i in range(9)], "doc_idx long, text string")
+    index = bm25.Index(texts)
+    plan = index.terms._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "postings" not in plan and plan.count("Generate") == 0
+    assert index.stats.first()["n"] == 9 and abs(index.stats.first()["avgdl"] - 4) < 1e-12
+    assert bm25.corpus_stats(texts).first()[:] == index.stats.first()[:]
 
 
 def test_split_takes_the_whole_text(spark):
