@@ -7,7 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from querykiln.operators import selection, stages
+from querykiln.functions import text as T
+from querykiln.operators import graph, selection, stages
 from querykiln.sources import jsonl
 from querykiln.sources.providers import TableProvider
 
@@ -30,9 +31,15 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-neighbors", type=int, default=80)
     s.add_argument("--min-edges", type=int, default=1)
     s.add_argument("--split-budget", type=int, default=8)
+    s.add_argument("--props", default=",".join(graph.FORWARD), help="codes of outgoing properties, by comma")
+    s.add_argument("--rev-props", default=",".join(graph.REVERSE))
+    s.add_argument("--lang", help="of labels, where the entity table has a lang column")
     s.add_argument("--attach-mode", choices=("augment", "subgraph_only"), default="augment")
     s = stage("synth", "responses")
     s.add_argument("--max-retries", type=int, default=2)
+    s.add_argument("--extra-nodes", type=int, default=2, help="sampled neighbours a subgraph")
+    s.add_argument("--node-sample-seed", type=int, default=0)
+    s.add_argument("--max-edges", type=int, default=8)
     s = stage("verify", "responses")
     s.add_argument("--max-candidates", type=int, default=5)
     s.add_argument("--kw-weight", type=float, default=0.2)
@@ -59,10 +66,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         made = jsonl.records(jsonl.head(jsonl.read_jsonl(spark, args.input), args.max_rows), args.source)
         out = stages.keys(made.where("error is null").drop("error"), TableProvider(table(args.responses)))
     elif args.stage == "subgraph":
-        got = stages.subgraphs(rows(args.input), table(args.entity), table(args.search), table(args.claim), args.max_topics, min_edges=args.min_edges, budget=args.split_budget, most=args.max_neighbors)
+        entity = graph.entity_text(table(args.entity), args.lang) if args.lang else table(args.entity)
+        codes = lambda given: tuple(dict.fromkeys(p for p in (T.property_code(x) for x in given.split(",")) if p))
+        got = stages.subgraphs(rows(args.input), entity, table(args.search), table(args.claim), args.max_topics, min_edges=args.min_edges, budget=args.split_budget, most=args.max_neighbors, props=codes(args.props), reverse=codes(args.rev_props))
         out = got if args.attach_mode == "augment" else jsonl.attach(got, args.attach_mode).withColumn("row_ord", F.monotonically_increasing_id())
     elif args.stage == "synth":
-        out = stages.synthesize(rows(args.input), TableProvider(table(args.responses)), retries=args.max_retries)
+        out = stages.synthesize(rows(args.input), TableProvider(table(args.responses)), retries=args.max_retries, extra=args.extra_nodes, seed=args.node_sample_seed, most=args.max_edges)
     elif args.stage == "verify":
         mode, todo = "append", jsonl.with_uid(rows(args.input))
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(args.output)

@@ -80,6 +80,13 @@ def edges(seed: DataFrame, near: DataFrame, node: DataFrame, claim: DataFrame, r
     return out.unionByName(inc)
 
 
+def packed(node: DataFrame, edge: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seed, nodes) and (seed, edges): per seed its nodes and edges as arrays, in order."""
+    nodes_ = node.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "qid", "label", "description", "aliases"))), lambda n: n.dropFields("node_ord")).alias("nodes"))
+    edges_ = edge.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "src", "prop", "dst", "direction"))), lambda e: e.dropFields("edge_ord")).alias("edges"))
+    return nodes_, edges_
+
+
 def attempts(topics: DataFrame, budget: int = 8) -> DataFrame:
     """topics (row_uid, topic_ord, topic) to search texts: the topic, then its split candidates."""
     texts = F.concat(F.array("topic"), split_candidates("topic", budget))

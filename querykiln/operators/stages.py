@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querykiln.functions import text as T
-from querykiln.operators import bm25, graph, selection, synthesis
-
+from querykiln.operators import bm25, context, graph, selection, synthesis
 
 
 def _column(df: DataFrame, name: str, kind: str):
@@ -32,19 +31,31 @@ def subgraphs(rows: DataFrame, entity: DataFrame, search: DataFrame, claim: Data
     near = graph.neighbours(seeds, claim, **{k: how[k] for k in ("props", "most") if k in how})
     node = graph.nodes(seeds, near, entity)
     edge = graph.edges(seeds, near, node, claim, **{k: how[k] for k in ("reverse",) if k in how})
-    packed_nodes = node.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("node_ord", "qid", "label", "description", "aliases"))), lambda n: n.dropFields("node_ord")).alias("nodes"))
-    packed_edges = edge.groupBy("seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "src", "prop", "dst", "direction"))), lambda e: e.dropFields("edge_ord")).alias("edges"))
+    packed_nodes, packed_edges = graph.packed(node, edge)
     full = got.join(packed_nodes, "seed", "left").join(packed_edges, "seed", "left")
     parts = full.groupBy("row_uid").agg(F.array_sort(F.collect_list(F.struct("topic_ord", "topic", "status", "seed", "refined", "chosen_text", "n_attempts", "num_nodes", "num_edges", "nodes", "edges"))).alias("subgraphs"))
     return rows.join(parts, rows["row_ord"] == parts["row_uid"], "left").drop("row_uid")
 
 
-def synthesize(rows: DataFrame, provider, graph_lines: str | None = None, retries: int = 2) -> DataFrame:
-    """Adds generated_queries; terms that would leak the topic are kept out of them."""
-    none = F.array().cast("array<string>")
+def synthesize(rows: DataFrame, provider, retries: int = 2, extra: int = 2, seed: int = 0, most: int = 8) -> DataFrame:
+    """Adds generated_queries; terms that would leak the topic are kept out of them.
+
+    Prompts show ``extra`` sampled neighbours of each row's subgraphs, else up to ``most``
+    useful edges; each accepted query carries those neighbours and edges that its answer
+    names (used_neighbors, used_edge_ids and the edges themselves as used_edges).
+    """
     terms = T.leakage_terms(_column(rows, "keywords", "string") if not dict(rows.dtypes).get("keywords", "").startswith("array") else F.lit(""), _column(rows, "center_topics", "array<string>"))
-    asked = rows.withColumns({"row_uid": F.col("row_ord"), "terms": terms, "graph_lines": F.col(graph_lines) if graph_lines else none, "labels": none})
-    return synthesis.synthesize(asked, provider, retries).drop("row_uid", "terms", "graph_lines", "labels")
+    asked = context.with_context(rows, extra=extra, seed=seed, most=most).withColumns({"row_uid": F.col("row_ord"), "terms": terms})
+    done = synthesis.synthesize(asked, provider, retries)
+    named = F.transform("generated_queries", lambda g: g.withField("used_edges", F.transform(g["used_edge_ids"], lambda i: F.get(F.col("graph_edges"), i))))
+    return done.withColumn("generated_queries", named).drop("row_uid", "terms", "graph_lines", "labels", "graph_edges")
+
+
+def synthesis_counters(rows: DataFrame, extra: int = 2) -> DataFrame:
+    """One row: how many rows there are, by what their prompts show (neighbours, edges, the text alone)."""
+    seen = context.with_context(rows, extra=extra)
+    node, edge = F.size("labels") > 0, F.size("graph_edges") > 0
+    return seen.agg(F.count(F.lit(1)).alias("rows"), F.count_if(node).alias("with_neighbors"), F.count_if(edge).alias("with_edges"), F.count_if(~node & ~edge).alias("text_only"))
 
 
 def verify(rows: DataFrame, provider, most: int = 5, policy: dict = selection.POLICY, **weights) -> DataFrame:

@@ -19,7 +19,7 @@ def generation_prompt(pos, graph_lines, forbidden) -> Column:
     """graph_lines: array of lines about linked concepts; forbidden: terms a query must not name (six shown)."""
     graph = F.when(F.size(graph_lines) > 0, F.concat(F.lit("\nLinked concepts (arrow from subject to object):\n"), F.array_join(graph_lines, "\n"))).otherwise("")
     names = F.when(F.size(forbidden) > 0, F.concat(F.lit("\nDo not use these names: "), F.array_join(F.slice(forbidden, 1, 6), "; "))).otherwise("")
-    ask = F.lit('\nWrite five questions of mixed length and type (analytical, causal, deductive, analogical) that this document answers. Answer with one line of JSON: {"queries": [{"query": "", "type": "", "used_neighbors": []}]}')
+    ask = F.lit('\nWrite five questions of mixed length and type (analytical, causal, deductive, analogical) that this document answers. Answer with one line of JSON: {"queries": [{"query": "", "type": "", "used_neighbors": [], "used_edge_ids": []}]}')
     return F.concat(F.lit("Document:\n"), truncate_sentence(pos, 800), graph, names, ask)
 
 
@@ -52,16 +52,17 @@ def accept(items: Column, terms: Column, labels: Column | None = None, edges: in
 
 
 def synthesize(rows: DataFrame, provider, retries: int = 2) -> DataFrame:
-    """rows (row_uid, pos, terms, graph_lines, labels) with generated_queries.
+    """rows (row_uid, pos, terms, graph_lines, labels, and graph_edges if any) with generated_queries.
 
     Rows without an accepted query are asked again, at most ``retries`` times more.
     Each round is written to the checkpoint folder, so a lost executor costs a round.
     """
+    edges = F.size("graph_edges") if "graph_edges" in rows.columns else 0
     todo = rows.withColumn("prompt", generation_prompt(F.col("pos"), F.col("graph_lines"), F.col("terms")))
     done = None
     for attempt in range(retries + 1):
         raw = provider.answer(todo.select("prompt").distinct(), attempt)
-        got = todo.join(raw, "prompt", "left").withColumn("generated_queries", accept(parse_output("raw"), F.col("terms"), F.col("labels"))).drop("raw")
+        got = todo.join(raw, "prompt", "left").withColumn("generated_queries", accept(parse_output("raw"), F.col("terms"), F.col("labels"), edges)).drop("raw")
         got = got.checkpoint() if attempt < retries else got
         ready = got.where(F.size("generated_queries") > 0) if attempt < retries else got
         done = ready if done is None else done.unionByName(ready)

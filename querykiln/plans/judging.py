@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from querykiln.functions import judging as J
 from querykiln.functions.text import score_of_hits
+from querykiln.operators import context as C
 from querykiln.operators import graph as G
 from querykiln.operators import selection as S
 from querykiln.operators import synthesis as Y
@@ -262,6 +263,27 @@ def neighbor_sample(spark, d):
     return G.sample_neighbours(neighbor_relations(spark, d), 2, 7)
 
 
+def graph_context(spark, d):
+    """Prompt lines of every entity with a text of its own, from its packed neighbourhood."""
+    entity, _, claim, seed = _seeded(spark, d)
+    near = G.neighbours(seed, claim)
+    node = G.nodes(seed, near, entity)
+    nodes, edges = G.packed(node, G.edges(seed, near, node, claim))
+    whole = nodes.join(edges, "seed", "left").select("seed", F.array(F.struct(F.lit("place").alias("topic"), "seed", "nodes", "edges")).alias("subgraphs"), F.lit("small red nation").alias("pos"))
+    got = C.with_context(whole, extra=2, seed=7)
+    return got.select("seed", F.array_join("graph_lines", "; ").alias("lines"), F.array_join("labels", "; ").alias("labels"))
+
+
+CONTEXT_SQL = f"""
+WITH own AS (WITH {GRAPH} SELECT p.qid AS seed, p.label FROM present p),
+rel AS ({RELATION_SQL}),
+pick AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5('7|' || seed || '|' || qid), qid) AS r FROM rel WHERE seed IN (SELECT seed FROM own)),
+l AS (SELECT seed, string_agg('  - hidden ' || arrow || ' ' || relation || ' ' || label, '; ' ORDER BY r) AS near, string_agg(label, '; ' ORDER BY r) AS labels FROM pick WHERE r <= 2 GROUP BY seed)
+SELECT own.seed, coalesce('- place, hidden (never name it): ' || own.label || '; ' || near, '') AS lines, coalesce(labels, '') AS labels FROM own LEFT JOIN l USING (seed)
+UNION ALL SELECT 'N7', '- N7 → part of → ' || r_name || '; - ' || r_name || ' → has part → N7', '' FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey = 7
+"""
+
+
 def select_edges(spark, d):
     entity, _, claim, seed = _seeded(spark, d)
     docs = _t(spark, d, "region").select(F.col("r_regionkey").alias("row_uid"), F.concat(F.lit("small red big ring widget gear "), F.lower("r_name"), F.lit(" nation")).alias("pos"))
@@ -299,6 +321,7 @@ QUERIES = {
     "neighbor_relations": neighbor_relations,
     "neighbor_sample": neighbor_sample,
     "select_edges": select_edges,
+    "graph_context": graph_context,
 }
 ORACLE = {
     "judge_parse": JUDGE_SQL,
@@ -320,4 +343,5 @@ ORACLE = {
     "neighbor_relations": RELATION_SQL,
     "neighbor_sample": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY md5('7|' || seed || '|' || qid), qid) AS r FROM ({RELATION_SQL})) WHERE r <= 2",
     "select_edges": EDGE_SQL,
+    "graph_context": CONTEXT_SQL,
 }

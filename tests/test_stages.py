@@ -37,10 +37,15 @@ def test_stages_chain(spark, tmp_path):
     got = lines(spark, p["graph"])[0]["subgraphs"][0]
     assert got["status"] == "ok" and got["seed"] == "Q1" and [e["dst"] for e in got["edges"]] == ["Q2"]
 
-    empty = F.array().cast("array<string>")
-    answers(spark, p["answers"], prompt(synthesis.generation_prompt(F.col("pos"), empty, F.array(F.lit("blue coast")))), json.dumps([{"query": "Why do waves carry sand along?"}]))
+    seen = F.array(F.lit("- blue coast, hidden (never name it): blue coast"), F.lit("  - hidden → is part of sand"))
+    answer = [{"query": "Why do waves carry sand along?", "used_neighbors": ["Sand", "stone"], "used_edge_ids": [0, "0", 7]}]
+    answers(spark, p["answers"], prompt(synthesis.generation_prompt(F.col("pos"), seen, F.array(F.lit("blue coast")))), json.dumps(answer))
     go("synth", "--input", p["graph"], "--output", p["synth"], "--responses", p["answers"])
-    assert all(r["generated_queries"][0]["query"] == "Why do waves carry sand along?" for r in lines(spark, p["synth"]))
+    made = [r["generated_queries"][0] for r in lines(spark, p["synth"])]
+    assert all(g["query"] == "Why do waves carry sand along?" and g["used_neighbors"] == ["Sand"] and g["used_edge_ids"] == [0] for g in made)
+    assert all(g["used_edges"] == [{"src": "blue coast", "prop": "P361", "dst": "sand", "label": "part of"}] for g in made)
+    assert stages.synthesis_counters(spark.read.json(p["graph"])).first()[:] == (4, 4, 4, 0)
+    assert stages.synthesis_counters(spark.read.json(p["graph"]), extra=0).first()[:] == (4, 0, 4, 0)
 
     answers(spark, p["answers"], prompt(synthesis.judging_prompt(F.col("pos"), F.lit("Why do waves carry sand along?"))), '{"connectivity_score": 90, "reason": "fits"}')
     for _ in range(2):  # the second run finds all rows done
