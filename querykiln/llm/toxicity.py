@@ -1,11 +1,13 @@
 """Operator 7 - toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer turns the words of a clause into symbols (insult, threat,
-target, modal, negation, reported speech). Four small transducers, composed into
-one, rewrite insults and threats by their surroundings: reported, negated,
-targeted, threatening. A text's score is a logistic model over how many of its
-clauses matched in which way. The insult lexicon (words and stems) and the weights
-are learned from labelled texts; targets, negations and the like are word lists.
+target, modal, passive, negation, reported speech). Six small transducers, composed
+into one, rewrite insults and threats by their surroundings: reported, negated,
+announced, aimed at a target, targeted. Every arc of the composition that puts out a
+match carries a weight; a clause is worth its strongest arc, and the k-th clause of a
+kind adds log(1 + 1/k) of that to a text's log odds. The insult lexicon (words and
+stems) and the weights are learned from labelled texts; targets, negations and the
+like are word lists.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ SAMPLE = 8_000
 THRESHOLD = 0.5
 #: An insult is at least so many times likelier in toxic texts and in so many of them.
 ODDS, SUPPORT = 20.0, 6
-#: Stems have so many letters; a stem counts where a text has two words of it.
+#: Stems have so many letters; they are learned where toxic texts have two words of them.
 STEMS = (4, 5, 6, 7, 8)
 
 INSULT = "idiot idiots moron morons stupid scum loser losers worthless pathetic disgusting imbecile abruti crétin idiota imbécil dummkopf".split()
-THREAT = "kill hurt murder destroy shoot stab beat strangle tuer frapper töten umbringen schlagen matar golpear".split()
+THREAT = "kill killed hurt murder murdered destroy destroyed shoot shot stab stabbed beat beaten strangle strangled tuer frapper töten umbringen schlagen matar golpear".split()
 TARGET = "you your yourself he she him her they them these those people tu toi vous il elle ils du dich ihr sie er tú usted ustedes él ella ellos".split()
 MODAL = "will shall gonna going should must deserve vais vas va werde wirst soll voy vas debería".split()
+PASSIVE = "be been get werden être ser".split()
 NEGATION = "not no never isn't aren't wasn't don't nobody nicht kein keine nie non jamais ni nunca".split()
 REPORTED = "said says say wrote writes called quoted reported claims claimed alleged sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 
@@ -77,18 +80,33 @@ def _window(trigger: str, width: int, rewrite: dict, alphabet: str) -> Transduce
     return Transducer(moves)
 
 
-#: o other, I insult, W word of an insult's stem, K threat word, P target, M modal, N negation, R reported speech;
-#: out: J targeted, n negated, r reported insult, w reported or negated stem, T threat.
-ALPHABET = "oIWKPMNR"
-_OUT = ALPHABET + "JnrTw"
+def _aimed(width: int) -> Transducer:
+    """An announced threat t becomes T at a target up to ``width`` words later, or at once if the target came before in the passive."""
+    moves = {(0, "P"): ("target", "P"), ("target", "B"): ("passive", "B"), ("passive", "t"): (0, "T")}
+    for s in (0, "target", *range(1, width + 1)):
+        moves[s, "t"] = (width, "t")
+    for s in range(1, width + 1):
+        moves |= {(s, a): (s - 1, a) for a in _OUT if a not in "Pt"}
+        moves[s, "P"] = ("target", "T")
+    return Transducer(moves)
+
+
+#: o other, I insult, W word of an insult's stem, K threat word, P target, M modal, B passive, N negation, R reported speech;
+#: out: J targeted, n negated, r reported insult, w reported or negated stem, t announced threat, T one aimed at a target, V a second word by a stem.
+ALPHABET = "oIWKPMBNR"
+_OUT = ALPHABET + "JnrTtwV"
 GRAMMAR = compose(
     Transducer({(0, "R"): (1, "R"), (1, "I"): (1, "r"), (1, "K"): (1, "r"), (1, "W"): (1, "w")}),
     _window("N", 3, {"I": "n", "K": "n", "W": "w"}, _OUT),
-    _window("M", 3, {"K": "T"}, _OUT),
+    _window("M", 3, {"K": "t"}, _OUT),
+    _aimed(3),
     _window("P", 4, {"I": "J"}, _OUT),
+    Transducer({(0, "W"): (1, "W"), (1, "W"): (1, "V")}),
     alphabet=ALPHABET,
 )
-MATCHES = "IJnrTWw"
+#: Matches from strongest to weakest, with the weights that arcs carry until others are learned; the last is of stems matched twice in clauses.
+MATCHES = "TJIVrntWw"
+BUILT_IN = np.array([3.0, 3.0, 2.0, 2.0, 0.5, 0.5, 0.3, 1.0, 0.5, 3.0])
 
 
 class Model:
@@ -96,12 +114,17 @@ class Model:
 
     def __init__(self, words: list[str], stems: list[str]):
         self.words, self.stems = sorted(set(words)), sorted(set(stems))
-        self.symbol = {w: s for group, s in ((TARGET, "P"), (MODAL, "M"), (NEGATION, "N"), (REPORTED, "R"), (THREAT, "K"), (self.words, "I")) for w in group}
+        self.symbol = {w: s for group, s in ((TARGET, "P"), (MODAL, "M"), (PASSIVE, "B"), (NEGATION, "N"), (REPORTED, "R"), (THREAT, "K"), (self.words, "I")) for w in group}
         self.stem = tuple(self.stems)
         whole = "|".join(map(re.escape, sorted({*self.words, *THREAT}, key=len, reverse=True)))
         stems_ = "".join(f"|{re.escape(s)}" for s in sorted(self.stems, key=len, reverse=True))
         self.scan = re.compile(rf"(?<![^\W\d_])(?:(?:{whole})(?![^\W\d_]){stems_})")
-        self.weights, self.bias = np.array([2.0, 3.0, 0.5, 0.5, 3.0, 1.0, 0.5, 1.0, 3.0]), -4.0
+        self.weights, self.bias = BUILT_IN.copy(), -4.0
+
+    def arcs(self) -> dict:
+        """The composed transducer with weights: (state, symbol) to (state, symbol out, weight)."""
+        worth = dict(zip(MATCHES, self.weights))
+        return {at: (state, out, float(worth.get(out, 0.0))) for at, (state, out) in GRAMMAR.moves.items()}
 
     def read(self, word: str) -> str:
         s = self.symbol.get(word)
@@ -126,17 +149,15 @@ class Model:
             yield left, end, out
 
     def features(self, text: str | None) -> list[float]:
-        """log1p counts of clauses by strongest match and of distinct insults; whether a stem matched twice."""
-        counts, words, stems = Counter(), set(), 0
+        """log1p counts of clauses by strongest match; whether two clauses match by a stem, or one does twice."""
+        counts, stems = Counter(), 0
         for _, _, out in self.clauses(text) if text else ():
-            got = {b for _, b in out if b in MATCHES}
-            words.update(w for w, b in out if b in "IJnrT")
-            stems += sum(b in "Ww" for _, b in out)
-            for b in "TJIrnWw":
-                if b in got:
-                    counts[b] += 1
-                    break
-        return [float(np.log1p(counts[b])) for b in MATCHES] + [float(np.log1p(len(words))), float(stems > 1)]
+            got = {b for _, b in out}
+            stems += 2 * ("V" in got) or bool(got & {"W", "w"})
+            best = next((b for b in MATCHES if b in got), None)
+            if best:
+                counts[best] += 1
+        return [float(np.log1p(counts[b])) for b in MATCHES] + [float(stems > 1)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -30, 30)))

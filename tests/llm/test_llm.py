@@ -216,7 +216,7 @@ def test_language_accuracy(spark):
     assert [r.lang_pred for r in odd][:4] == ["und"] * 4 and langid.train(docs(spark).limit(0)) is None
 
 
-@pytest.mark.parametrize("query, label, least", [(quality.op2_quality, "quality", 0.9), (toxicity.op7_toxicity, "toxic", 0.75)])
+@pytest.mark.parametrize("query, label, least", [(quality.op2_quality, "quality", 0.9), (toxicity.op7_toxicity, "toxic", 0.8)])
 def test_classifiers(spark, query, label, least):
     sf = SF.replace("0.001", "0.01")
     got = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
@@ -235,8 +235,35 @@ def test_grammar():
     m = toxicity.Model(toxicity.INSULT, ["zrk"])
     out = lambda t: ["".join(b for _, b in c[2] if b in toxicity.MATCHES) for c in m.clauses(t)]
     assert out("you are an idiot. not an idiot, he said idiot; i will kill you") == ["J", "n", "r", "T"]
-    assert out("zrkaba and zrkabo\nhello") == ["WW"] and out("idiotic words") == []
-    assert m.features("zrka zrkb")[-1] == 1.0 and m.features(None) == [0.0] * 9
+    assert out("zrkaba and zrkabo\nhello") == ["WV"] and out("idiotic words") == []
+    assert m.features("zrka zrkb")[-1] == m.features("zrka. zrkb")[-1] == 1.0 and m.features("zrka")[-1] == 0.0 and m.features(None) == [0.0] * 10
+
+
+def test_threats_need_a_target():
+    m = toxicity.Model(toxicity.INSULT, [])
+    out = lambda t: ["".join(b for _, b in c[2] if b in toxicity.MATCHES) for c in m.clauses(t)]
+    for text, want in [("i will kill you", "tT"), ("they will hurt all of them", "tT"), ("they should be shot by us", "T"), ("they deserve to be beaten", "T"), ("we will kill time", "t"), ("he will kill time", "t"), ("this will destroy the competition record", "t"), ("i will not kill you", "n"), ("she said i will kill you", "r")]:
+        assert out(text) == [want]
+    by_arcs = m.arcs()
+    assert {w for _, b, w in by_arcs.values() if b == "T"} == {toxicity.BUILT_IN[0]} and all(w == 0 for _, b, w in by_arcs.values() if b not in toxicity.MATCHES)
+    score = lambda t: m.score(toxicity.np.array([m.features(t)]))[0]
+    assert score("i will kill you") > 3 * score("we will kill time")
+
+
+def test_score_is_the_sum_of_clause_weights():
+    m = toxicity.Model(toxicity.INSULT, ["zrk"])
+    text = "you idiot. what an idiot. i will kill you\nwe will kill time, she said idiot. i will kill them, moron"
+    arcs, odds, seen = m.arcs(), m.bias, {}
+    for left, end, out in m.clauses(text):
+        state, path = toxicity.GRAMMAR.start, []
+        for w, _ in out:
+            state, b, weight = arcs[state, m.read(w)]
+            path.append((toxicity.MATCHES.find(b), b, weight))
+        best = min((p for p in path if p[0] >= 0), default=None)
+        if best:
+            k = seen[best[1]] = seen.get(best[1], 0) + 1
+            odds += best[2] * toxicity.np.log(1 + 1 / k)
+    assert abs(m.score(toxicity.np.array([m.features(text)]))[0] - 1 / (1 + toxicity.np.exp(-odds))) < 1e-12 and len(seen) >= 4
 
 
 def test_line_rules(spark):
