@@ -234,7 +234,7 @@ def test_odd_rows_score(spark):
 def test_grammar():
     m = toxicity.Model(toxicity.INSULT, ["zrk"])
     out = lambda t: ["".join(b for _, b in c[2] if b in toxicity.MATCHES) for c in m.clauses(t)]
-    assert out("you are an idiot. not an idiot, he said idiot; i will kill you") == ["J", "n", "r", "T"]
+    assert out("you are an idiot. not an idiot, he said idiot; i will kill you") == ["J", "n", "r", "tT"]
     assert out("zrkaba and zrkabo\nhello") == ["WV"] and out("idiotic words") == []
     assert m.features("zrka zrkb")[-1] == m.features("zrka. zrkb")[-1] == 1.0 and m.features("zrka")[-1] == 0.0 and m.features(None) == [0.0] * 10
 
