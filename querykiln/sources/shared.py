@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -41,10 +42,19 @@ def _clean() -> None:
 def kept(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back, so that every use reads instead of working it out.
 
-    A lost executor costs no more than the reading; files go when the program ends.
+    A lost executor costs no more than the reading. The shuffle files of the write go
+    with it, the table when the program ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/querykiln-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
