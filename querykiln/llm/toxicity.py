@@ -234,8 +234,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not len(chosen):
         return Model(INSULT, [])
     picked = F.broadcast(docs.sparkSession.createDataFrame(chosen))
-    got = columns_of(docs, "doc_id", "text").where("text is not null").join(picked, "doc_id").select("doc_id", "text", "_y").toPandas().sort_values(["doc_id", "text"])
-    return fit(got["text"].tolist(), got["_y"].to_numpy(float))
+    got = columns_of(docs, "doc_id", "text").where("text is not null").join(picked, "doc_id").select("doc_id", "text", "_y").toArrow()  # batches pass through the driver; rows would all be held there, several times
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "text", "_y"))), key=lambda r: r[:2])
+    return fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], float))
 
 
 def _scored(m: Model, batch: pa.RecordBatch) -> np.ndarray:
