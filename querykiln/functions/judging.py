@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from querykiln.functions.text import _c, _nn, strip_ws
+from querykiln.functions.text import _c, _nn, bound, strip_ws
 
 KEYS = ("queries", "generated_queries", "candidates", "items")
 TYPES = ("analytical", "causal", "deductive", "analogical")
@@ -21,15 +21,20 @@ def parse_output(x) -> Column:
     A fenced block is taken if there is one; the whole text is tried, then what lies
     between the first { and the last }; a list counts, or the first list under KEYS.
     """
-    t = strip_ws(x)
-    fenced = F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    t = F.when(fenced != "", strip_ws(fenced)).otherwise(t)
+    empty = F.array().cast("array<variant>")
 
     def lists(v: Column) -> Column:
-        return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in KEYS))
+        return bound(v, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), *(F.try_variant_get(v, f"$.{k}", "array<variant>") for k in KEYS)))
 
-    got = F.coalesce(lists(_variant(t)), lists(_variant(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
-    return F.filter(F.coalesce(got, F.array().cast("array<variant>")), lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+    def read(t: Column) -> Column:
+        return F.coalesce(lists(_variant(t)), lists(_variant(F.regexp_extract(t, r"(?s)\{.*\}", 0))), empty)
+
+    def whole(t: Column) -> Column:
+        fenced = F.regexp_extract(t, r"(?is)```(?:json)?\s*(.*?)```", 1)
+        return bound(fenced, lambda inner: F.when(inner != "", strip_ws(inner)).otherwise(t))
+
+    got = bound(bound(strip_ws(x), whole), read)
+    return F.filter(got, lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
 
 
 def parse_judgement(x) -> Column:
@@ -71,14 +76,14 @@ def coerce_float(v, name: str = "confidence", default: float = 0.5) -> Column:
 
 def reasoning_type(item) -> Column:
     """The first of type and reasoning_type that isn't empty, if known, else analytical."""
-    said = lambda k: F.nullif(F.try_variant_get(_c(item), f"$.{k}", "string"), F.lit(""))
+    said = lambda k: bound(F.try_variant_get(_c(item), f"$.{k}", "string"), lambda t: F.nullif(t, F.lit("")))
     kind = F.lower(F.coalesce(said("type"), said("reasoning_type"), F.lit("analytical")))
-    return F.when(kind.isin(*TYPES), kind).otherwise("analytical")
+    return bound(kind, lambda k: F.when(k.isin(*TYPES), k).otherwise("analytical"))
 
 
 def edge_ids(item, edges: int | Column) -> Column:
     """Distinct indexes in range, of the first of three keys that holds something."""
-    ids = F.coalesce(*(F.nullif(F.try_variant_get(_c(item), f"$.{k}", "array<string>"), F.array().cast("array<string>")) for k in ("used_edge_ids", "used_edges", "edge_ids")), F.array().cast("array<string>"))
+    ids = F.coalesce(*(bound(F.try_variant_get(_c(item), f"$.{k}", "array<string>"), lambda i: F.nullif(i, F.array().cast("array<string>"))) for k in ("used_edge_ids", "used_edges", "edge_ids")), F.array().cast("array<string>"))
     numbers = F.transform(F.filter(ids, lambda i: i.rlike("^[0-9]+$")), lambda i: i.try_cast("int"))
     return F.array_distinct(F.filter(numbers, lambda i: i.isNotNull() & (i < edges)))
 

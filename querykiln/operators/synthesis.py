@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querykiln.functions.judging import edge_ids, parse_output, reasoning_type
-from querykiln.functions.text import abstract_structure, clean_query, has_leakage, normalize_compact, one_line, truncate_sentence
+from querykiln.functions.text import abstract_structure, bound, clean_query, has_leakage, normalize_compact, one_line, truncate_sentence
 
 CAP = 5
 
@@ -35,12 +35,9 @@ def accept(items: Column, terms: Column, labels: Column | None = None, edges: in
     queries count as seen.
     """
     known = F.transform(labels if labels is not None else F.array().cast("array<string>"), normalize_compact)
-    prepared = F.transform(items, lambda v: F.struct(
-        clean_query(F.try_variant_get(v, "$.query", "string")).alias("query"), reasoning_type(v).alias("reasoning_type"), edge_ids(v, edges).alias("used_edge_ids"),
-        F.filter(F.coalesce(F.try_variant_get(v, "$.used_neighbors", "array<string>"), F.array().cast("array<string>")), lambda n: n.isNotNull() & F.array_contains(known, normalize_compact(n))).alias("used_neighbors")))
-    usable = F.filter(prepared, lambda p: p["query"].isNotNull() & ~has_leakage(p["query"], terms))
-    keyed = F.transform(usable, lambda p: F.struct(p.alias("p"), normalize_compact(p["query"]).alias("n"), abstract_structure(p["query"]).alias("s"), p["reasoning_type"].alias("t")))
-    empty = F.filter(keyed, lambda _: F.lit(False))
+    asked = F.transform(items, lambda v: F.struct(v.alias("v"), clean_query(F.try_variant_get(v, "$.query", "string")).alias("query")))
+    usable = F.filter(asked, lambda p: p["query"].isNotNull() & ~has_leakage(p["query"], terms))
+    keyed = F.transform(usable, lambda p: F.struct(p["v"].alias("v"), p["query"].alias("query"), normalize_compact(p["query"]).alias("n"), abstract_structure(p["query"]).alias("s"), reasoning_type(p["v"]).alias("t")))
     share = max(1, (cap + 1) // 2)
 
     def fold(acc: Column, x: Column) -> Column:
@@ -48,7 +45,9 @@ def accept(items: Column, terms: Column, labels: Column | None = None, edges: in
         full = F.size(F.filter(acc, lambda a: a["t"] == x["t"])) >= share
         return F.when((F.size(acc) >= cap) | seen | full, acc).otherwise(F.concat(acc, F.array(x)))
 
-    return F.transform(F.aggregate(keyed, empty, fold), lambda k: k["p"])
+    taken = bound(keyed, lambda all_: F.aggregate(all_, F.filter(all_, lambda _: F.lit(False)), fold))
+    neighbors = lambda v: F.filter(F.coalesce(F.try_variant_get(v, "$.used_neighbors", "array<string>"), F.array().cast("array<string>")), lambda n: n.isNotNull() & F.array_contains(known, normalize_compact(n)))
+    return F.transform(taken, lambda k: F.struct(k["query"].alias("query"), k["t"].alias("reasoning_type"), edge_ids(k["v"], edges).alias("used_edge_ids"), neighbors(k["v"]).alias("used_neighbors")))
 
 
 def synthesize(rows: DataFrame, provider, retries: int = 2) -> DataFrame:

@@ -51,7 +51,9 @@ def _answers(spark, d):
     body = F.concat(F.lit('[{"query": "What is the value of item '), k, F.lit(' in the list?", "type": "causal"}, "junk", {"query": "What is the value of item '), k, F.lit(' in the list?"}, {"query": "Too short"}, {"query": "Explain nothing"}, {"query": "How does the system react when load grows?", "type": "DEDUCTIVE", "used_edges": ["1", 1, 9, "x"]}]'))
     i = F.col("event_id") % 5
     raw = F.when(i == 0, body).when(i == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(i == 2, F.concat(F.lit('Here: {"queries": '), body, F.lit("} ok"))).when(i == 3, F.concat(F.lit('{"candidates": '), body, F.lit("}"))).otherwise("nothing")
-    return _t(spark, d, "events").select("event_id", "user_id", raw.alias("raw"))
+    # dealt anew: reading them takes far longer than shuffling the small rows, and a file of few row groups gives few tasks
+    events = _t(spark, d, "events").select("event_id", "user_id", "props").repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "event_id")
+    return events.select("event_id", "user_id", raw.alias("raw"))
 
 
 def output_parse(spark, d):
